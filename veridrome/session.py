@@ -18,6 +18,7 @@ def build_session(app: str = "veridrome", master: str | None = None, **conf: str
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
     } | conf
     for k, v in settings.items():
         b = b.config(k, v)
