@@ -73,7 +73,8 @@ def _edges(path: str | None, overlap: int):
         for pdf in frames:
             heads, tails = [], []
             for text, start, end in zip(pdf["text"], pdf["start"], pdf["end"]):
-                at = [start + b for b in boundaries(text, p)]
+                # a piece that ends in white space would be split otherwise without what follows
+                at = [start + b for b in boundaries(text, p) if b and not text[b - 1].isspace()]
                 heads.append([b for b in at if start < b < start + overlap])
                 tails.append([b for b in at if end <= b < end + overlap])
             yield pdf.drop(columns="text").assign(head=heads, tail=tails)
