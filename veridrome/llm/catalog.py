@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from veridrome.llm import encoding, leakage, repeated_lines
+from veridrome.llm import encoding, leakage, pages, repeated_lines, residue
 from veridrome.sources.tables import table
 
 
@@ -29,6 +29,34 @@ def p5_cleaned(spark, d):
     return repeated_lines.without_lines(docs, spots).select(F.col("id").alias("update_id"), "content")
 
 
+def _pages(spark, d):
+    return table(spark, d, "updates", "id", "title", "summary", "content")
+
+
+def p6_found(spark, d):
+    """Lines that do not belong to the article."""
+    u, tree = _pages(spark, d), pages.page_tree()
+    index = residue.Index(*residue.word_weights(u))
+    return pages.lines_around(u, tree, residue.skipper(index, tree)).select(F.col("id").alias("update_id"), "field", "line_no")
+
+
+def p6_bodies(spark, d):
+    """Contents and summaries reduced to the article."""
+    return pages.main_body(_pages(spark, d)).distinct().withColumnRenamed("id", "update_id")
+
+
+def p7_found(spark, d):
+    """Fields that were never filled in or hold a failed page."""
+    return residue.find(_pages(spark, d)).select(F.col("id").alias("update_id"), "field")
+
+
+def p7_kept(spark, d):
+    """Updates without residue: those that stay in the corpus, per impact level."""
+    u = table(spark, d, "updates")
+    kept = u.join(residue.find(u).select("id").distinct(), "id", "left_anti")
+    return kept.groupBy("impact_level").agg(F.countDistinct("id").alias("n_updates"))
+
+
 def p8_ids(spark, d):
     """Token ids of each document."""
     return encoding.encode(table(spark, d, "documents", "doc_id", "text"))
@@ -54,7 +82,7 @@ def p9_leaked_items(spark, d):
     return o.groupBy("item_id").agg(exact, F.sum((F.col("near") >= 2 * leakage.RUN).cast("int")).alias("n_tolerant"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_cleaned, p8_ids, p8_round_trip, p9_found, p9_leaked_items)}
+QUERIES = {f.__name__: f for f in (p5_found, p5_cleaned, p6_found, p6_bodies, p7_found, p7_kept, p8_ids, p8_round_trip, p9_found, p9_leaked_items)}
 
 
 def queries():
