@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from veridrome.llm import encoding, leakage, pages, repeated_lines, residue
+from veridrome.llm import abuse, encoding, leakage, pages, repeated_lines, residue
 from veridrome.sources.tables import table
 
 
@@ -82,7 +82,32 @@ def p9_leaked_items(spark, d):
     return o.groupBy("item_id").agg(exact, F.sum((F.col("near") >= 2 * leakage.RUN).cast("int")).alias("n_tolerant"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_cleaned, p6_found, p6_bodies, p7_found, p7_kept, p8_ids, p8_round_trip, p9_found, p9_leaked_items)}
+def _judge(spark, d):
+    docs = table(spark, d, "documents", "doc_id", "text", "source")
+    return docs, abuse.fit(abuse.rated_sample(docs, table(spark, d, "doc_labels", "doc_id", "toxic")))
+
+
+def p10_found(spark, d):
+    """Documents with an abusive, hateful or sexual passage."""
+    docs, judge = _judge(spark, d)
+    return abuse.score(docs, judge).where("abusive").select("doc_id")
+
+
+def p10_scores(spark, d):
+    """The score of every document."""
+    docs, judge = _judge(spark, d)
+    return abuse.score(docs, judge).select("doc_id", F.round("score", 6).alias("score"))
+
+
+def p10_rates(spark, d):
+    """Documents and abusive ones per source."""
+    docs, judge = _judge(spark, d)
+    one = abuse.score(docs, judge).join(docs.select("doc_id", "source"), "doc_id")
+    counts = one.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("abusive").cast("long")).alias("n_abusive"))
+    return counts.withColumn("rate", F.col("n_abusive") / F.col("n_docs"))
+
+
+QUERIES = {f.__name__: f for f in (p5_found, p5_cleaned, p6_found, p6_bodies, p7_found, p7_kept, p8_ids, p8_round_trip, p9_found, p9_leaked_items, p10_found, p10_scores, p10_rates)}
 
 
 def queries():
