@@ -31,8 +31,8 @@ FIT_ROWS = 8_000
 #: Bytes of rated text of one document that the fit reads; scoring reads whole texts.
 FIT_CHARS = 20_000
 ROUNDS, FOLDS, DISCOUNT, WINDOW = 3, 5, 0.75, 10
-#: Mean ratio from which a passage of a rated document counts as abuse during the fit; the usual threshold; how much rarer abuse is than among the ratings.
-KEEP, PRIOR, RARER = 0.6, 1.5, 5
+#: Mean or whole ratio from which a passage of a rated document counts as abuse during the fit; the usual threshold; how much rarer abuse is than among the ratings.
+KEEP, SUM, PRIOR, RARER = 0.6, 3.0, 1.5, 2
 
 #: Characters that are written for Latin letters.
 LOOKS = str.maketrans("аеорсухіјѕԁһӏкмтвнАЕОРСУХІЈЅКМТВНαονρτικυΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aeopcyxijsdhlkmtbhaeopcyxijskmtbhaovptikuabezhikmnoptyx")
@@ -139,6 +139,13 @@ class Judge:
         sums = np.cumsum(np.concatenate(([0.0], g)))
         return float((sums[WINDOW:] - sums[:-WINDOW]).max() / WINDOW)
 
+    def abuse(self, t: list[str]) -> bool:
+        """Whether a passage counts as abuse during the fit."""
+        g = self.gains(t)
+        sums = np.cumsum(np.concatenate(([0.0], g)))
+        n = min(WINDOW, len(g))
+        return bool((sums[n:] - sums[:-n]).max() > SUM or g.mean() > KEEP)
+
 
 Rated = list[tuple[list[list[str]], int]]
 SEEDS = ([t for x in rated_passages.ABUSIVE for t in passages(x)], [t for x in rated_passages.ORDINARY for t in passages(x)])
@@ -161,18 +168,19 @@ def _models(rated: Rated) -> Judge:
             abusive = KneserNey(SEEDS[0] * 2 + [t for k, ts in enumerate(bad) if k % FOLDS != fold for t in ts], shared)
             j = Judge(abusive, ordinary)
             for k in range(fold, len(pool), FOLDS):
-                kept[k] = [t for t in pool[k] if j.passage(t) > KEEP]
+                kept[k] = [t for t in pool[k] if j.abuse(t)]
         bad = kept
     abusive = KneserNey(SEEDS[0] * 2 + [t for ts in bad for t in ts], shared)
     # passages rated ordinary that are made of the abusive model's trigrams: the rating is wrong
-    known = set(abusive.n[3])
-    clean = [t for t in good if not (_overlap(t, known) > 0.5 and Judge(abusive, ordinary).passage(t) > 2 * KEEP)]
+    known, last = set(abusive.n[3]), Judge(abusive, ordinary)
+    clean = [t for t in good if not (_overlap(t, known) and last.abuse(t))]
     return Judge(abusive, KneserNey(clean + [t for k, ts in enumerate(pool) for t in ts if t not in bad[k]], shared))
 
 
-def _overlap(t: list[str], known: set) -> float:
+def _overlap(t: list[str], known: set) -> bool:
     s = ["⟨", "⟨", *t, "⟩"]
-    return sum((s[i - 2], s[i - 1], s[i]) in known for i in range(2, len(s))) / (len(s) - 2)
+    n = sum((s[i - 2], s[i - 1], s[i]) in known for i in range(2, len(s)))
+    return n >= 4 or 2 * n >= len(s) - 2
 
 
 def fit(labelled: pd.DataFrame) -> Judge:
