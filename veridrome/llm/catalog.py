@@ -4,10 +4,33 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from veridrome.llm import abuse, encoding, leakage, pages, repeated_lines, residue
+from veridrome.llm import abuse, encoding, leakage, pages, personal, repeated_lines, residue
 from veridrome.sources.tables import table
 
 
+PERSONAL = (("content_events", "id", "content"), ("rule_tasks", "id", "content"), ("text_chunks", "chunk_id", "text"))
+
+
+def p1_found(spark, d):
+    """Every piece of personal data with its place."""
+    parts = [personal.find(table(spark, d, t, k, c), t, k, c) for t, k, c in PERSONAL]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def p1_redacted(spark, d):
+    """Texts with typed placeholders in place of personal data."""
+    parts = [
+        table(spark, d, t, k, c).distinct().select(F.lit(t).alias("table_name"), F.col(k).alias("record_id"), personal.redacted(F.col(c)).alias("text"))
+        for t, k, c in PERSONAL
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def p1_counts(spark, d):
+    """Pieces of personal data per table and kind."""
+    return p1_found(spark, d).groupBy("table_name", "kind").agg(F.count(F.lit(1)).alias("n_pieces"), F.countDistinct("record_id").alias("n_records"))
+
+
 def _source_docs(spark, d):
     return repeated_lines.source_documents(table(spark, d, "updates", "id", "source_id", "content"), table(spark, d, "sources", "id"))
 
@@ -107,7 +130,7 @@ def p10_rates(spark, d):
     return counts.withColumn("rate", F.col("n_abusive") / F.col("n_docs"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_cleaned, p6_found, p6_bodies, p7_found, p7_kept, p8_ids, p8_round_trip, p9_found, p9_leaked_items, p10_found, p10_scores, p10_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p1_counts, p5_found, p5_cleaned, p6_found, p6_bodies, p7_found, p7_kept, p8_ids, p8_round_trip, p9_found, p9_leaked_items, p10_found, p10_scores, p10_rates)}
 
 
 def queries():
