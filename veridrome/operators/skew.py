@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType as _MAPS
 
 #: Rows and bytes up to which a side may be sent to every executor.
 BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 48 << 20
@@ -52,4 +53,12 @@ def salted_join(
     return out.drop("_salt", "_few_salt", *[f"_few_{k}" for k in keys])
 
 
-from pyspark.sql.types import MapType as _MAPS  # noqa: E402
+
+def spread(df: DataFrame) -> DataFrame:
+    """Repartition an input that has fewer partitions than the cluster has cores.
+
+    For passes that are heavy per row.  What is shuffled is at most one scan
+    partition a core; larger inputs already have enough partitions and stay.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
