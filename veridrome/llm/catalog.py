@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veridrome.llm import abuse, encoding, leakage, pages, personal, repeated_lines, residue
+from veridrome.operators.skew import spread
 from veridrome.sources.tables import table
 
 
@@ -13,14 +14,14 @@ PERSONAL = (("content_events", "id", "content"), ("rule_tasks", "id", "content")
 
 def p1_found(spark, d):
     """Every piece of personal data with its place."""
-    parts = [personal.find(table(spark, d, t, k, c), t, k, c) for t, k, c in PERSONAL]
+    parts = [personal.find(spread(table(spark, d, t, k, c)), t, k, c) for t, k, c in PERSONAL]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def p1_redacted(spark, d):
     """Texts with typed placeholders in place of personal data."""
     parts = [
-        table(spark, d, t, k, c).distinct().select(F.lit(t).alias("table_name"), F.col(k).alias("record_id"), personal.redacted(F.col(c)).alias("text"))
+        spread(table(spark, d, t, k, c).distinct()).select(F.lit(t).alias("table_name"), F.col(k).alias("record_id"), personal.redacted(F.col(c)).alias("text"))
         for t, k, c in PERSONAL
     ]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
@@ -53,7 +54,7 @@ def p5_cleaned(spark, d):
 
 
 def _pages(spark, d):
-    return table(spark, d, "updates", "id", "title", "summary", "content")
+    return spread(table(spark, d, "updates", "id", "title", "summary", "content"))
 
 
 def p6_found(spark, d):
@@ -82,7 +83,7 @@ def p7_kept(spark, d):
 
 def p8_ids(spark, d):
     """Token ids of each document."""
-    return encoding.encode(table(spark, d, "documents", "doc_id", "text"))
+    return encoding.encode(spread(table(spark, d, "documents", "doc_id", "text")))
 
 
 def p8_round_trip(spark, d):
@@ -95,7 +96,7 @@ def p8_round_trip(spark, d):
 
 def p9_found(spark, d):
     """Documents and the test items they contain."""
-    return leakage.leaks(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "eval_items", "item_id", "text"))
+    return leakage.leaks(spread(table(spark, d, "documents", "doc_id", "text")), table(spark, d, "eval_items", "item_id", "text"))
 
 
 def p9_leaked_items(spark, d):
@@ -106,7 +107,7 @@ def p9_leaked_items(spark, d):
 
 
 def _judge(spark, d):
-    docs = table(spark, d, "documents", "doc_id", "text", "source")
+    docs = spread(table(spark, d, "documents", "doc_id", "text", "source"))
     return docs, abuse.fit(abuse.rated_sample(docs, table(spark, d, "doc_labels", "doc_id", "toxic")))
 
 
