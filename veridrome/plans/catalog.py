@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Modules with ``QUERIES`` and ``SQL``.
-MODULES = ("records",)
+MODULES = ("records", "text_queries", "event_queries")
 
 
 def queries() -> dict[str, Query]:
