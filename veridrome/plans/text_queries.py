@@ -129,7 +129,7 @@ def text_health_flags(spark, d):
 
 
 _DOC = "(SELECT * FROM documents WHERE text IS NOT NULL)"
-_WORDS = "CASE WHEN trim(regexp_replace(text, '[\\x09-\\x0D ]+', ' ', 'g')) = '' THEN 0 ELSE len(string_split(trim(regexp_replace(text, '[\\x09-\\x0D ]+', ' ', 'g')), ' ')) END"
+_WORDS = "CASE WHEN trim(regexp_replace(text, '[\\x09-\\x0D ]+', ' ', 'g'), ' ') = '' THEN 0 ELSE len(string_split(trim(regexp_replace(text, '[\\x09-\\x0D ]+', ' ', 'g'), ' '), ' ')) END"
 
 
 def _docs(spark, d, *more):
@@ -172,7 +172,7 @@ def text_topic_scores(spark, d):
     return _docs(spark, d).select("doc_id", F.round(T.topic_score(t, ["data", "record"], 50.0), 6).alias("loose"), F.round(T.topic_score(t, ["risk", "breach"], 5.0, 10.0), 6).alias("strict"))
 
 
-@query(f"SELECT doc_id, floor(({_WORDS}) * 1.3 + {_n('[.,!?;:()\\[\\]{}]')} * 0.8 + {_n('[0-9]+')} * 0.2 + len(list_filter(string_split(trim(regexp_replace(text, '[\\x09-\\x0D ]+', ' ', 'g')), ' '), lambda w: regexp_full_match(w, '[A-Z][A-Z]+'))) * 0.5 + 1e-9)::BIGINT AS n_tokens FROM {_DOC}")
+@query(f"SELECT doc_id, floor(({_WORDS}) * 1.3 + {_n('[.,!?;:()\\[\\]{}]')} * 0.8 + {_n('[0-9]+')} * 0.2 + len(list_filter(string_split(trim(regexp_replace(text, '[\\x09-\\x0D ]+', ' ', 'g'), ' '), ' '), lambda w: regexp_full_match(w, '[A-Z][A-Z]+'))) * 0.5 + 1e-9)::BIGINT AS n_tokens FROM {_DOC}")
 def text_token_estimate(spark, d):
     """Estimated model tokens from words, punctuation, numbers and capitals."""
     return _docs(spark, d).select("doc_id", T.token_estimate(F.col("text")).alias("n_tokens"))
