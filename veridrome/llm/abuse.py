@@ -127,9 +127,9 @@ class Judge:
         self.abusive, self.ordinary, self.threshold = abusive, ordinary, threshold
 
     def gains(self, t: list[str]) -> np.ndarray:
-        """Log-likelihood ratio of each word of a passage."""
-        s = ["⟨", "⟨", *t, "⟩"]
-        return np.array([math.log(self.abusive.p(*s[i - 2 : i + 1]) / self.ordinary.p(*s[i - 2 : i + 1])) for i in range(2, len(s))])
+        """Log-likelihood ratio of each word of a passage; words that neither model knows speak for neither."""
+        s, known = ["⟨", "⟨", *t, "⟩"], self.abusive.base
+        return np.array([math.log(self.abusive.p(*s[i - 2 : i + 1]) / self.ordinary.p(*s[i - 2 : i + 1])) if s[i] in known else 0.0 for i in range(2, len(s))])
 
     def passage(self, t: list[str]) -> float:
         """Mean ratio of a passage, or of its best window of ``WINDOW`` words if it is longer."""
