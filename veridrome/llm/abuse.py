@@ -31,6 +31,8 @@ FIT_ROWS = 8_000
 #: Bytes of rated text of one document that the fit reads; scoring reads whole texts.
 FIT_CHARS = 20_000
 ROUNDS, FOLDS, DISCOUNT, WINDOW = 3, 5, 0.75, 10
+#: Trigrams whose ratio a process keeps.
+KEPT_GAINS = 200_000
 #: Mean or whole ratio from which a passage of a rated document counts as abuse during the fit; the usual threshold; how much rarer abuse is than among the ratings.
 KEEP, SUM, PRIOR, RARER = 0.6, 3.0, 1.5, 2
 
@@ -53,11 +55,18 @@ def _latin(word: str) -> str:
 
 def tokens(passage: str) -> list[str]:
     """Words of a passage with common disguises undone: look-alike letters, digits for letters, spaced, stretched and masked letters."""
-    s = unicodedata.normalize("NFKC", passage)
-    s = "".join(c for c in s if unicodedata.category(c) != "Cf").lower()
+    plain = passage.isascii()
+    s = passage
+    if not plain:
+        s = unicodedata.normalize("NFKC", s)
+        s = "".join(c for c in s if c < "\x80" or unicodedata.category(c) != "Cf")
+    s = s.lower()
     s = SPACED.sub(lambda m: re.sub(r"[ .\-_*]", "", m[0]), s)
     out = []
     for w in TOKEN.findall(s):
+        if w.isascii() and w.isalpha():
+            out.append(LONG.sub(r"\1", w))
+            continue
         w = _latin(w)
         if MASKED.match(w):
             w = "⟦masked⟧"
@@ -65,7 +74,8 @@ def tokens(passage: str) -> list[str]:
             w = "0"
         elif LEET.match(w):
             w = w.translate(DIGITS)
-        w = "".join(c for c in unicodedata.normalize("NFD", w) if not unicodedata.combining(c))
+        if not w.isascii():
+            w = "".join(c for c in unicodedata.normalize("NFD", w) if not unicodedata.combining(c))
         out.append(LONG.sub(r"\1", w).strip("*'’"))
     quoted = bool(QUOTE.search(passage))
     return [w for w in out if w] + ["⟦quote⟧"] * quoted
@@ -125,19 +135,34 @@ class Judge:
 
     def __init__(self, abusive: KneserNey, ordinary: KneserNey, threshold: float = 0.0):
         self.abusive, self.ordinary, self.threshold = abusive, ordinary, threshold
+        self.known: dict[tuple[str, str, str], float] = {}
+
+    def gain(self, g: tuple[str, str, str]) -> float:
+        """Log-likelihood ratio of a trigram's last word; 0 for one that neither model knows."""
+        x = self.known.get(g)
+        if x is None:
+            x = math.log(self.abusive.p(*g) / self.ordinary.p(*g)) if g[2] in self.abusive.base else 0.0
+            if len(self.known) < KEPT_GAINS:
+                self.known[g] = x
+        return x
 
     def gains(self, t: list[str]) -> np.ndarray:
         """Log-likelihood ratio of each word of a passage; words that neither model knows speak for neither."""
-        s, known = ["⟨", "⟨", *t, "⟩"], self.abusive.base
-        return np.array([math.log(self.abusive.p(*s[i - 2 : i + 1]) / self.ordinary.p(*s[i - 2 : i + 1])) if s[i] in known else 0.0 for i in range(2, len(s))])
+        s = ["⟨", "⟨", *t, "⟩"]
+        return np.array([self.gain(g) for g in zip(s, s[1:], s[2:])])
 
     def passage(self, t: list[str]) -> float:
         """Mean ratio of a passage, or of its best window of ``WINDOW`` words if it is longer."""
-        g = self.gains(t)
+        s = ["⟨", "⟨", *t, "⟩"]
+        g = [self.gain(x) for x in zip(s, s[1:], s[2:])]
         if len(g) <= WINDOW:
-            return float(g.sum() / max(len(g), 5))
-        sums = np.cumsum(np.concatenate(([0.0], g)))
-        return float((sums[WINDOW:] - sums[:-WINDOW]).max() / WINDOW)
+            return sum(g) / max(len(g), 5)
+        here = best = sum(g[:WINDOW])
+        for i in range(WINDOW, len(g)):
+            here += g[i] - g[i - WINDOW]
+            if here > best:
+                best = here
+        return best / WINDOW
 
     def abuse(self, t: list[str]) -> bool:
         """Whether a passage counts as abuse during the fit."""
@@ -237,21 +262,8 @@ def score(docs: DataFrame, judge: Judge) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         j = wrapped.value
-        cache: dict[str, float] = {}
         for pdf in frames:
-            out = []
-            for text in pdf["text"]:
-                worst = -5.0
-                if isinstance(text, str):
-                    for part in BREAK.split(text):
-                        s = cache.get(part)
-                        if s is None:
-                            t = tokens(part)
-                            s = j.passage(t) if t else -5.0
-                            if len(cache) < 100_000:
-                                cache[part] = s
-                        worst = max(worst, s)
-                out.append(worst)
+            out = [max((j.passage(t) for t in passages(text)), default=-5.0) for text in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": out, "abusive": [s > j.threshold for s in out]})
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, score double, abusive boolean")
