@@ -46,6 +46,7 @@ LATIN = re.compile(r"(?:lor|em|ip|sum|dol|or|sit|amet|con|sect|etur|tur|adi|pisc
 #: A note behind a window: one in brackets, or a few words behind a dash.
 NOTE = re.compile(r"(?:\s*\([^()\n]{1,30}\)|\s+-\s+[^\W_]+(?: [^\W_]+)?)\s*$")
 WORD = re.compile("⟦slot⟧|⟦latin⟧|n/a|[^\\W_]+(?:['’][^\\W_]+)*")
+OPENS = re.compile(r"[{\[<%]|\$\{|__")
 REFERENCE = re.compile(r"^(?=.*\d)[0-9a-f]+$|^render.*$")
 #: A window is residue from this share of its weight, a record from this share of its windows' words.
 COVERED, RECORD = 0.68, 0.9
@@ -53,10 +54,11 @@ COVERED, RECORD = 0.68, 0.9
 
 def tokens(text: str) -> list[str]:
     """Words of a window; slots become one mark, reference numbers other than status codes fall out."""
-    marked = SLOT.sub(" ⟦slot⟧ ", NOTE.sub("", text)).lower()
+    text = NOTE.sub("", text)
+    marked = (SLOT.sub(" ⟦slot⟧ ", text) if OPENS.search(text) else text).lower()
     out = []
     for w in WORD.findall(marked.replace("_", " ")):
-        if w in CODES or not REFERENCE.match(w):
+        if w in CODES or not (w[0] in "0123456789abcdefr" and REFERENCE.match(w)):
             out.append(w)
     mock = [bool(LATIN.fullmatch(w)) for w in out]
     if len(out) >= 4 and sum(mock) >= 0.6 * len(out):
@@ -94,10 +96,15 @@ class Index:
         return max((g / total for i, g in got.items() if g >= 0.2 * self.mass[i] or EXEMPLARS[i][0] == "filler"), default=0.0)
 
     def residue(self, windows: list[str]) -> bool:
-        """Whether the windows together are residue."""
-        words = [max(1, len(tokens(w))) for w in windows]
-        hit = sum(n for w, n in zip(windows, words) if self.coverage(w) >= COVERED)
-        return bool(words) and hit >= RECORD * sum(words)
+        """Whether the windows together are residue; long windows are looked at first."""
+        sizes = [max(1, len(w.split())) for w in windows]
+        free = (1 - RECORD) * sum(sizes)
+        for n, w in sorted(zip(sizes, windows), reverse=True):
+            if self.coverage(w) < COVERED:
+                free -= n
+                if free < 0:
+                    return False
+        return bool(windows)
 
 
 def word_weights(records: DataFrame, columns: tuple[str, ...] = ("content", "title")) -> tuple[dict[str, int], int]:
@@ -112,7 +119,8 @@ def word_weights(records: DataFrame, columns: tuple[str, ...] = ("content", "tit
         for pdf in frames:
             for row in zip(*(pdf[k] for k in columns)):
                 c[""] += 1
-                c.update(known.intersection(w for x in row if isinstance(x, str) for w in tokens(x)))
+                words = {w for x in row if isinstance(x, str) for w in WORD.findall(x.lower())}
+                c.update(known & words)
         yield pd.DataFrame(list(c.items()), columns=["w", "n"])
 
     rows = records.select(*columns).mapInPandas(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).collect()
@@ -128,8 +136,12 @@ def content_is_residue(index: Index, tree: Tree, title, content) -> bool:
         return True
     _, lines = pages.split_lines(content)
     t = pages.plain(title) if isinstance(title, str) else None
-    body = [x for x, b in zip(lines, pages.around(lines, None, tree)) if pages.plain(x) != t and (not b or index.coverage(x) >= COVERED)]
-    return index.residue(body)
+    outside = pages.around(lines, None, tree)
+    body = [x for x, b in zip(lines, outside) if not b and pages.plain(x) != t]
+    if body:
+        return index.residue(body)
+    # all that is left may be residue that reads like a line around an article
+    return any(index.coverage(x) >= COVERED for x in lines if pages.plain(x) != t)
 
 
 def find(records: DataFrame, index: Index | None = None) -> DataFrame:
@@ -156,7 +168,7 @@ def find(records: DataFrame, index: Index | None = None) -> DataFrame:
 
 def _slot(index: Index, text: str) -> bool:
     """Whether a window in the form of a slot stands in the text."""
-    return any(index.coverage(m[0]) >= COVERED for m in SLOT.finditer(text))
+    return bool(OPENS.search(text)) and any(index.coverage(m[0]) >= COVERED for m in SLOT.finditer(text))
 
 
 def skipper(index: Index, tree: Tree):
