@@ -37,15 +37,16 @@ def plain(line: str) -> str:
     return SPACES.sub(" ", line.lower()).strip()
 
 
-def _own(line: str) -> list[float]:
+@lru_cache(maxsize=50_000)
+def _own(line: str) -> tuple[float, ...]:
     """Words, link density and marks of form of one block."""
     p = plain(line)
     words = WORD.findall(p)
     n = len(words)
     pieces = [s for s in PIECES.split(line.strip()) if s]
-    short = sum(len(WORD.findall(s)) for s in pieces if len(WORD.findall(s)) <= 3) if len(pieces) > 1 else 0
+    short = sum(k for k in (len(WORD.findall(s)) for s in pieces) if k <= 3) if len(pieces) > 1 else 0
     bare = BULLET.sub("", p)
-    return [
+    return (
         n,
         short / max(1, n),
         len(pieces),
@@ -58,7 +59,7 @@ def _own(line: str) -> list[float]:
         float(bool(LINK_BULLET.match(p))),
         float(any(s.strip().isdigit() for s in pieces)),
         p.count(":"),
-    ]
+    )
 
 
 def features(lines: list[str]) -> np.ndarray:
