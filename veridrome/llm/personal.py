@@ -30,7 +30,7 @@ SPELLED = re.compile(rf"\b(?:{_NUM})(?:[\s,-]+(?:{_NUM})){{6,}}\b", re.I)
 _AT = r"(?:\s*[(\[{<]\s*at\s*[)\]}>]\s*|\s+at\s+|\s*@\s*)"
 _DOT = r"(?:\s*[(\[{<]\s*dot\s*[)\]}>]\s*|\s+dot\s+|\.)"
 DISGUISED = re.compile(rf"(?<![\w.+-])([\w+-]+(?:{_DOT}[\w+-]+)*?)({_AT})([\w-]+(?:{_DOT}[\w-]+)+)", re.I)
-DOTS, ATS = re.compile(_DOT, re.I), re.compile(_AT, re.I)
+DOTS, HINT = re.compile(_DOT, re.I), re.compile(r"@|dot|[(\[{<]\s*at", re.I)
 SPELLED_DOT = re.compile(r"dot", re.I)
 
 
@@ -41,8 +41,9 @@ class Plain:
         self.text, self.starts, self.ends = source, None, None  # None: identity
         if ODD.search(source):
             self._letters(source)
-        for pattern, edit in ((SPELLED, self._digits), (DISGUISED, self._address)):
-            self._rewrite(pattern, edit)
+        self._rewrite(SPELLED, self._digits)
+        if HINT.search(self.text):
+            self._rewrite(DISGUISED, self._address)
 
     def _letters(self, source: str) -> None:
         out, starts = [], []
@@ -138,7 +139,10 @@ ADDRESS = re.compile(
 )
 
 
+@lru_cache(maxsize=50_000)
 def _fold(w: str) -> str:
+    if w.isascii():
+        return w.lower()
     return "".join(c for c in unicodedata.normalize("NFD", w.lower()) if not unicodedata.combining(c)).replace("ø", "o").replace("ł", "l")
 
 
