@@ -8,6 +8,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, also where ``body`` uses it inside functions of elements."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def words(text: Column) -> Column:
     """Pieces between white space; an empty array for blank or null text."""
     t = F.trim(F.regexp_replace(text, r"\s+", " "))
@@ -26,9 +31,15 @@ def sentences(text: Column) -> Column:
 
 def ngrams(tokens: Column, n: int) -> Column:
     """Runs of ``n`` neighbouring tokens, joined by blanks."""
-    last = F.size(tokens) - n
-    runs = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.array_join(F.slice(tokens, i + 1, n), " "))
-    return F.when(last >= 0, runs).otherwise(F.array().cast("array<string>"))
+
+    def runs(t: Column) -> Column:
+        last = F.greatest(F.size(t) - n + 1, F.lit(0))
+        out = F.slice(t, 1, last)
+        for k in range(1, n):
+            out = F.zip_with(out, F.slice(t, k + 1, last), lambda a, b: F.concat(a, F.lit(" "), b))
+        return out
+
+    return let(tokens, runs)
 
 
 def ngrams_upto(tokens: Column, most: int) -> Column:
@@ -93,11 +104,13 @@ def token_estimate(text: Column) -> Column:
 
 def entropy(text: Column) -> Column:
     """Shannon entropy of the characters, in bits; 0 for empty text."""
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    n = F.size(chars).cast("double")
-    counts = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda d: d == c)).cast("double") / n)
-    h = F.aggregate(counts, F.lit(0.0), lambda a, p: a - p * F.log2(p))
-    return F.when(n > 0, h).otherwise(0.0)
+
+    def bits(chars: Column) -> Column:
+        n = F.size(chars).cast("double")
+        shares = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda d: d == c)).cast("double") / n)
+        return F.when(n > 0, F.aggregate(shares, F.lit(0.0), lambda a, p: a - p * F.log2(p))).otherwise(0.0)
+
+    return let(F.filter(F.split(text, ""), lambda c: c != ""), bits)
 
 
 def low_entropy(text: Column, short: int = 4, bits: float = 3.0) -> Column:

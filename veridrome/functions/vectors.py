@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from veridrome.functions.text import let
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -32,31 +34,37 @@ def peak(a: Column) -> Column:
 def quantise(a: Column, bits: int = 8) -> Column:
     """Symmetric codes: round(x * (2^(bits-1) - 1) / max|x|), half to even; zeros for a zero vector."""
     top = float(2 ** (bits - 1) - 1)
-    return F.transform(a, lambda x: F.when(peak(a) == 0, F.lit(0)).otherwise(F.bround(x.cast("double") * top / peak(a))).cast("int"))
+    return let(peak(a), lambda m: F.transform(a, lambda x: F.when(m == 0, F.lit(0)).otherwise(F.bround(x.cast("double") * top / m)).cast("int")))
 
 
 def dequantise(codes: Column, scale: Column) -> Column:
     """Back from codes; ``scale`` is max|x| / (2^(bits-1) - 1)."""
-    return F.transform(codes, lambda q: q.cast("double") * scale)
+    return let(scale, lambda s: F.transform(codes, lambda q: q.cast("double") * s))
 
 
 def affine(a: Column, bits: int = 8) -> Column:
     """Codes between the least and the greatest value: 0 .. 2^bits - 1."""
-    lo, hi = F.array_min(a).cast("double"), F.array_max(a).cast("double")
-    return F.transform(a, lambda x: F.when(hi == lo, F.lit(0)).otherwise(F.bround((x.cast("double") - lo) * float(2**bits - 1) / (hi - lo))).cast("int"))
+    edge = F.struct(F.array_min(a).cast("double").alias("lo"), F.array_max(a).cast("double").alias("hi"))
+
+    def codes(e: Column) -> Column:
+        return F.transform(a, lambda x: F.when(e["hi"] == e["lo"], F.lit(0)).otherwise(F.bround((x.cast("double") - e["lo"]) * float(2**bits - 1) / (e["hi"] - e["lo"]))).cast("int"))
+
+    return let(edge, codes)
 
 
 def normalise(a: Column) -> Column:
     """Unit length; a zero vector stays."""
-    n = norm(a)
-    return F.transform(a, lambda x: F.when(n == 0, x.cast("double")).otherwise(x.cast("double") / n))
+    return let(norm(a), lambda n: F.transform(a, lambda x: F.when(n == 0, x.cast("double")).otherwise(x.cast("double") / n)))
 
 
 def softmax(a: Column) -> Column:
     """Stable softmax."""
-    top = F.array_max(a).cast("double")
-    e = F.transform(a, lambda x: F.exp(x.cast("double") - top))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda s, y: s + y))
+    powers = let(F.array_max(a).cast("double"), lambda top: F.transform(a, lambda x: F.exp(x.cast("double") - top)))
+
+    def shares(e: Column) -> Column:
+        return let(F.aggregate(e, F.lit(0.0), lambda s, y: s + y), lambda total: F.transform(e, lambda x: x / total))
+
+    return let(powers, shares)
 
 
 def mask(a: Column, forbidden: Column, value: float = -1e9) -> Column:
@@ -74,4 +82,4 @@ def prune(a: Column, share: float) -> Column:
     sizes = F.array_sort(F.transform(a, lambda x: F.abs(x.cast("double"))))
     k = F.floor(F.size(a) * share).cast("int")
     limit = F.when(k > 0, F.element_at(sizes, F.greatest(k, F.lit(1)))).otherwise(F.lit(-1.0))
-    return F.transform(a, lambda x: F.when(F.abs(x.cast("double")) <= limit, F.lit(0.0)).otherwise(x.cast("double")))
+    return let(limit, lambda m: F.transform(a, lambda x: F.when(F.abs(x.cast("double")) <= m, F.lit(0.0)).otherwise(x.cast("double"))))
