@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -35,18 +36,23 @@ def words(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if isinstance(text, str) else []
 
 
-def _codes(ws: list[str]) -> np.ndarray:
+@lru_cache(maxsize=200_000)
+def _code(word: str) -> int:
     import xxhash
 
-    return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in ws), np.uint64, len(ws))
+    return xxhash.xxh3_64_intdigest(word)
+
+
+def _codes(ws: list[str]) -> np.ndarray:
+    return np.fromiter(map(_code, ws), np.uint64, len(ws))
 
 
-def window_hashes(ws: list[str], mask: str) -> np.ndarray:
-    """One hash for each window of the mask's length."""
-    n = len(ws) - len(mask) + 1
+def window_hashes(codes: np.ndarray, mask: str) -> np.ndarray:
+    """One hash for each window of the mask's length, from the words' codes."""
+    n = len(codes) - len(mask) + 1
     if n <= 0:
         return np.empty(0, np.int64)
-    codes, h = _codes(ws), np.full(n, 17, np.uint64)
+    h = np.full(n, 17, np.uint64)
     with np.errstate(over="ignore"):
         for i, bit in enumerate(mask):
             if bit == "1":
@@ -58,11 +64,9 @@ def window_hashes(ws: list[str], mask: str) -> np.ndarray:
 def _hashes(key: str):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            for k, text in zip(pdf[key], pdf["text"]):
-                ws = words(text)
-                hs = [window_hashes(ws, m) for m in MASKS]
-                if len(hs[0]):
-                    yield pd.DataFrame({key: k, "h": [np.unique(np.concatenate([h + i for i, h in enumerate(hs)]))]})
+            codes = [_codes(words(t)) for t in pdf["text"]]
+            hs = [np.concatenate([window_hashes(c, m) + i for i, m in enumerate(MASKS)]) for c in codes]
+            yield pd.DataFrame({key: pdf[key], "h": hs})
 
     return run
 
@@ -77,9 +81,9 @@ def _merge(a: np.ndarray, b: np.ndarray, span: int = SPAN) -> tuple[int, int]:
     diagonals: set[int] = set()
     for m in MASKS:
         at = defaultdict(list)
-        for j, h in enumerate(_from_codes(b, m)):
+        for j, h in enumerate(window_hashes(b, m).tolist()):
             at[h].append(j)
-        for i, h in enumerate(_from_codes(a, m)):
+        for i, h in enumerate(window_hashes(a, m).tolist()):
             for j in at.get(h, ()):
                 diagonals.add(i - j)
     for d in diagonals:
@@ -101,19 +105,6 @@ def _merge(a: np.ndarray, b: np.ndarray, span: int = SPAN) -> tuple[int, int]:
     return best, near
 
 
-def _from_codes(codes: np.ndarray, mask: str) -> list[int]:
-    n = len(codes) - len(mask) + 1
-    if n <= 0:
-        return []
-    h = np.full(n, 17, np.uint64)
-    with np.errstate(over="ignore"):
-        for i, bit in enumerate(mask):
-            if bit == "1":
-                h = (h ^ codes[i : i + n]) * _ODD
-                h ^= h >> np.uint64(29)
-    return h.tolist()
-
-
 def _verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in frames:
         pairs = [_merge(_codes(words(a)), _codes(words(b))) for a, b in zip(pdf["text"], pdf["item_text"])]
