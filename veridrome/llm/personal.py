@@ -29,7 +29,7 @@ _NUM = "|".join(W.DIGITS)
 SPELLED = re.compile(rf"\b(?:{_NUM})(?:[\s,-]+(?:{_NUM})){{6,}}\b", re.I)
 _AT = r"(?:\s*[(\[{<]\s*at\s*[)\]}>]\s*|\s+at\s+|\s*@\s*)"
 _DOT = r"(?:\s*[(\[{<]\s*dot\s*[)\]}>]\s*|\s+dot\s+|\.)"
-DISGUISED = re.compile(rf"(?<![\w.+-])([\w+-]+(?:{_DOT}[\w+-]+)*?)({_AT})([\w-]+(?:{_DOT}[\w-]+)+)", re.I)
+DISGUISED = re.compile(rf"(?<![\w.+-])([\w+-]+(?:{_DOT}[\w+-]+){{0,6}}?)({_AT})([\w-]+(?:{_DOT}[\w-]+){{1,8}})", re.I)
 DOTS, HINT = re.compile(_DOT, re.I), re.compile(r"@|dot|[(\[{<]\s*at", re.I)
 SPELLED_DOT = re.compile(r"dot", re.I)
 
@@ -130,13 +130,16 @@ IDENTITY = re.compile(
 )
 THINGS = re.compile(rf"\b{W.THINGS}(?:\s+(?:no\.?|number|nr\.?|id))?[\s:#]*(?:[\d.:/-]+\s+(?:and|to|through)\s+)?$", re.I)
 SOCIAL = re.compile(W.SOCIAL, re.I)
-ADDRESS = re.compile(
-    rf"(?<![\w/-])(?:{_UNIT},\s*)?\d{{1,5}}\s?[A-Za-z]?(?:\s?[-/]\s?\d{{1,4}}[A-Za-z]?)?,?\s+(?:{_L}[\w'’-]*\.?\s+){{1,4}}?(?:{_STREET})\b\.?(?:,\s*{_UNIT})?"
-    rf"|(?<!\w)(?:calle|avenida|avda\.?|plaza|paseo|camino|carrera)\s+(?:(?:de|del|la|las|los|el)\s+)*(?:{_L}[\w'’-]*\s+){{1,3}}\d{{1,4}}[a-z]?(?!\w)(?:,\s*{_UNIT})?"
-    rf"|(?<!\w){_L}[\w'’-]*(?:str\.|straße|strasse|weg|gasse|platz|allee|ufer|ring|damm)\s+\d{{1,4}}[a-z]?(?!\w)(?:,\s*{_UNIT})?"
-    rf"|(?<![\w/-])\d{{1,4}}(?:[a-z](?!\w))?(?:\s?(?:bis|ter))?,?\s+(?:rue|avenue|boulevard|place|quai|impasse|chemin|allée)\s+(?:(?:de|du|des|la|le|les)\s+|(?:d|l)['’])*{_BIG}(?:\s+{_BIG})?",
-    re.I,
-)
+#: Forms of addresses, each with a hint without which it is not tried.
+ADDRESSES = [
+    (re.compile(hint, re.I), re.compile(form, re.I))
+    for hint, form in (
+        (rf"\b(?:{_STREET})\b", rf"(?<![\w/-])(?:{_UNIT},\s*)?\d{{1,5}}\s?[A-Za-z]?(?:\s?[-/]\s?\d{{1,4}}[A-Za-z]?)?,?\s+(?:{_L}[\w'’-]*\.?\s+){{1,4}}?(?:{_STREET})\b\.?(?:,\s*{_UNIT})?"),
+        (r"\b(?:calle|avenida|avda|plaza|paseo|camino|carrera)\b", rf"(?<!\w)(?:calle|avenida|avda\.?|plaza|paseo|camino|carrera)\s+(?:(?:de|del|la|las|los|el)\s+)*(?:{_L}[\w'’-]*\s+){{1,3}}\d{{1,4}}[a-z]?(?!\w)(?:,\s*{_UNIT})?"),
+        (r"(?:str\.|straße|strasse|weg|gasse|platz|allee|ufer|ring|damm)\s+\d", rf"(?<!\w){_L}[\w'’-]*(?:str\.|straße|strasse|weg|gasse|platz|allee|ufer|ring|damm)\s+\d{{1,4}}[a-z]?(?!\w)(?:,\s*{_UNIT})?"),
+        (r"\b(?:rue|avenue|boulevard|place|quai|impasse|chemin|allée)\b", rf"(?<![\w/-])\d{{1,4}}(?:[a-z](?!\w))?(?:\s?(?:bis|ter))?,?\s+(?:rue|avenue|boulevard|place|quai|impasse|chemin|allée)\s+(?:(?:de|du|des|la|le|les)\s+|(?:d|l)['’])*{_BIG}(?:\s+{_BIG})?"),
+    )
+]
 
 
 @lru_cache(maxsize=50_000)
@@ -149,8 +152,10 @@ def _fold(w: str) -> str:
 GIVEN = frozenset(W.GIVEN)
 STOP = frozenset(W.NO_SURNAME)
 TOKEN = re.compile(rf"{_L}+(?:[-'’]{_L}+)*\.?")
+LETTERS = re.compile(rf"{_L}+")
+TITLE_WORDS = frozenset(W.TITLES)
 _TITLES = "|".join(W.TITLES)
-TITLED = re.compile(rf"\b((?:(?:{_TITLES})\b\.?\s+)+)((?:{_INIT}\s*)*(?:{_WORD}\s+)?{_SUR})", re.I)
+TITLED = re.compile(rf"\b((?:(?:{_TITLES})\b\.?\s+){{1,3}})((?:{_INIT}\s*)*(?:{_WORD}\s+)?{_SUR})", re.I)
 CUED = re.compile(rf"(?:\b(?:{'|'.join(W.CUES)}))\s*", re.I)
 INITIALS = re.compile(rf"(?<![\w.])((?:{_INIT}\s?){{1,2}})({_SUR})(?!\w)")
 
@@ -175,19 +180,23 @@ def _names(text: str, taken: bytearray) -> list[tuple[int, int]]:
             taken[a:b] = b"\1" * (b - a)
             found.append((a, b))
 
-    tokens = [(m.start(), m.end(), m[0]) for m in TOKEN.finditer(text)]
+    words = set(LETTERS.findall(text.lower()))
+    known = not GIVEN.isdisjoint(words) or not text.isascii() and any(_fold(w) in GIVEN for w in words if not w.isascii())
+    tokens = [(m.start(), m.end(), m[0]) for m in TOKEN.finditer(text)] if known else []
     given = [_fold(t.rstrip(".")) in GIVEN for _, _, t in tokens]
     joined = lambda i: i + 1 < len(tokens) and text[tokens[i][1] : tokens[i + 1][0]].isspace()
     is_init = lambda t: len(t) == 2 and t[1] == "."
+    last = -1
     for i, ok in enumerate(given):  # given name, more given names or initials, surname
-        if not ok or tokens[i][2].endswith("."):
+        if not ok or i <= last or tokens[i][2].endswith("."):
             continue
         style, j = _style(tokens[i][2]), i
         while joined(j) and (given[j + 1] or is_init(tokens[j + 1][2])) and _style(tokens[j + 1][2]) in (style, "title") and not (given[j + 1] and tokens[j + 1][2].endswith(".")):
             j += 1
+        last = j  # names inside the chain have been looked at
         if joined(j) and _surname(tokens[j + 1][2].rstrip("."), style):
             add(tokens[i][0], tokens[j + 1][0] + len(tokens[j + 1][2].rstrip(".")))
-    for m in TITLED.finditer(text):
+    for m in TITLED.finditer(text) if not TITLE_WORDS.isdisjoint(words) else ():
         name, a = m[2], m.start(2)
         words = name.split()
         last = words[-1]
@@ -211,7 +220,7 @@ def _names(text: str, taken: bytearray) -> list[tuple[int, int]]:
             add(m.end(), m.end() + n.end())
     # parts of a name found above, where they stand alone
     surnames = {text[a:b].split()[-1] for a, b in found if len(text[a:b].split()) > 1}
-    for a, b, w in tokens:
+    for a, b, w in (tokens or ((m.start(), m.end(), m[0]) for m in TOKEN.finditer(text))) if surnames else ():
         if w.rstrip(".") in surnames and _style(w) == "title":
             add(a, a + len(w.rstrip(".")))
     return found
@@ -242,10 +251,12 @@ def detect(source) -> list[tuple[str, int, int]]:
     if "@" in text:
         for m in EMAIL.finditer(text):
             add("email", m.start(), m.end())
-    for m in ADDRESS.finditer(text):
-        a, b = _trim_address(m)
-        if a < b:
-            add("address", a, b)
+    for hint, form in ADDRESSES:
+        if hint.search(text):
+            for m in form.finditer(text):
+                a, b = _trim_address(m)
+                if a < b:
+                    add("address", a, b)
     for m in IDENTITY.finditer(text):
         before = text[max(0, m.start() - 40) : m.start()]
         if THINGS.search(before):

@@ -54,7 +54,7 @@ COVERED, RECORD = 0.68, 0.9
 
 def tokens(text: str) -> list[str]:
     """Words of a window; slots become one mark, reference numbers other than status codes fall out."""
-    text = NOTE.sub("", text)
+    text = NOTE.sub("", " ".join(text.split()))
     marked = (SLOT.sub(" ⟦slot⟧ ", text) if OPENS.search(text) else text).lower()
     out = []
     for w in WORD.findall(marked.replace("_", " ")):
