@@ -37,8 +37,8 @@ def _held(v):
     return [v] if isinstance(v, dict) else v if isinstance(v, list) else None
 
 
-def _node(x):
-    """A child record in the unified form; ``@`` has its own attributes."""
+def _node(x, attributes: bool = True):
+    """A child record in the unified form; ``@`` has its own attributes, if asked for."""
     if not isinstance(x, dict):
         return None
     own, out = {}, {}
@@ -49,18 +49,19 @@ def _node(x):
             if k in ARRAYS:
                 kids = _held(v)
                 if kids is not None:
-                    out[prefix + k] = [_node(e) for e in kids]
+                    out[prefix + k] = [_node(e, attributes) for e in kids]
             elif isinstance(v, dict):
                 if prefix == "":
                     own[k] = v
                 todo.append((f"{prefix}{k}.", v))
             elif prefix == "":
                 own[k] = v
-    out["@"] = json.dumps(own, ensure_ascii=False)
+    if attributes:
+        out["@"] = json.dumps(own, ensure_ascii=False)
     return out
 
 
-def unify(text: str | None, native: bool = False) -> str | None:
+def unify(text: str | None, native: bool = False, attributes: bool = True) -> str | None:
     """The unified JSON array of a root field; null if it holds no record.
 
     Null, empty and unreadable texts, and plain values, hold none.  Records
@@ -83,24 +84,20 @@ def unify(text: str | None, native: bool = False) -> str | None:
                             inner = None
                     if isinstance(inner, dict):
                         e.update({k: v for k, v in inner.items() if k in ARRAYS})
-        return json.dumps([_node(e) for e in kids], ensure_ascii=False)
+        return json.dumps([_node(e, attributes) for e in kids], ensure_ascii=False)
     except RecursionError:
         return None
 
 
-@F.pandas_udf(T.StringType())
-def _unify_text(s: pd.Series) -> pd.Series:
-    return s.map(unify)
+def _unifier(native: bool, attributes: bool):
+    return F.pandas_udf(lambda s: s.map(lambda t: unify(t, native, attributes)), T.StringType())
 
 
-@F.pandas_udf(T.StringType())
-def _unify_native(s: pd.Series) -> pd.Series:
-    return s.map(lambda t: unify(t, native=True))
-
-
-def roots(df: DataFrame, table_name: str, key: str, fields: dict[str, Column], native: tuple[str, ...] = ()) -> DataFrame:
+def roots(df: DataFrame, table_name: str, key: str, fields: dict[str, Column], native: tuple[str, ...] = (), attributes: bool = True) -> DataFrame:
     """Root fields in the unified form: (table_name, record_id, root, doc).
 
+    Without ``attributes`` only the places of records are kept.
+
     ``fields`` maps a root's name to a text column, or for a name in ``native``
     to an array of structs.  Null fields give no row.
     """
@@ -112,9 +109,9 @@ def roots(df: DataFrame, table_name: str, key: str, fields: dict[str, Column], n
     long = long.where(F.col("raw").isNotNull() & (F.trim("raw") != ""))
     parts = []
     if native:
-        parts.append(long.where("native").withColumn("doc", _unify_native("raw")))
+        parts.append(long.where("native").withColumn("doc", _unifier(True, attributes)("raw")))
     if len(native) < len(fields):
-        parts.append(long.where("not native").withColumn("doc", _unify_text("raw")))
+        parts.append(long.where("not native").withColumn("doc", _unifier(False, attributes)("raw")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -238,7 +235,7 @@ def level_table(nodes: DataFrame, level: str, columns: dict[str, str]) -> DataFr
     return nodes.where(F.col("level") == level).select("table_name", "record_id", "node_path", "parent_path", "ordinal", *typed)
 
 
-def compliance_roots(audit: DataFrame, events: DataFrame) -> DataFrame:
+def compliance_roots(audit: DataFrame, events: DataFrame, attributes: bool = True) -> DataFrame:
     """The roots of audit entries and compliance events."""
-    a = roots(audit, "audit_entries", "entry_id", {"violations": F.col("violations"), "reviews": F.element_at("metadata", F.lit("reviews"))}, native=("violations",))
-    return a.unionByName(roots(events, "compliance_events", "id", {"violations": F.col("violations")}))
+    a = roots(audit, "audit_entries", "entry_id", {"violations": F.col("violations"), "reviews": F.element_at("metadata", F.lit("reviews"))}, native=("violations",), attributes=attributes)
+    return a.unionByName(roots(events, "compliance_events", "id", {"violations": F.col("violations")}, attributes=attributes))

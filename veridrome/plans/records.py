@@ -23,14 +23,14 @@ def p2_orphans_by_month(spark, d):
     return references.orphan_report(_orphans(spark, d), "id", F.lit("updates"), F.date_format("at", "yyyy-MM"))
 
 
-def _nodes(spark, d):
-    docs = nested.compliance_roots(table(spark, d, "audit_entries"), table(spark, d, "compliance_events"))
+def _nodes(spark, d, attributes=True):
+    docs = nested.compliance_roots(table(spark, d, "audit_entries"), table(spark, d, "compliance_events"), attributes)
     return nested.explode_levels(docs)
 
 
 def p3_found(spark, d):
     """Every object of the nested array fields, with its place."""
-    return _nodes(spark, d).select("table_name", "record_id", "node_path")
+    return _nodes(spark, d, False).select("table_name", "record_id", "node_path")
 
 
 def p3_spans(spark, d):
@@ -45,7 +45,7 @@ def p3_evidence(spark, d):
 
 def p3_links(spark, d):
     """Records of each level and of those how many have a parent."""
-    n = _nodes(spark, d)
+    n = _nodes(spark, d, False)
     return n.groupBy("table_name", "level").agg(F.count(F.lit(1)).alias("n_records"), F.count("parent_path").alias("n_with_parent"))
 
 
