@@ -192,10 +192,14 @@ def score_weighted_mean(spark, d):
 SELECT user_id, round(arg_max(ema, i), 6) AS ema FROM r GROUP BY user_id""")
 def score_moving_average(spark, d):
     """Exponential average of a user's purchases, seeded with the first."""
+    from pyspark.sql.window import Window
+
     e = table(spark, d, "events", "user_id", "ts", "event_id", "event_type", "value").where("event_type = 'purchase'")
-    seq = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))), lambda s: s["value"])
-    fold = F.aggregate(F.slice(F.col("s"), F.lit(2), F.size("s")), F.element_at("s", 1), lambda a, x: 0.9 * a + 0.1 * x)
-    return e.groupBy("user_id").agg(seq.alias("s")).select("user_id", F.round(fold, 6).alias("ema"))
+    w = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
+    # the average is a sum whose weights follow from the place counted from the end
+    placed = e.withColumns({"k": F.row_number().over(w) - 1, "n": F.count(F.lit(1)).over(Window.partitionBy("user_id"))})
+    weight = F.pow(F.lit(0.9), F.col("k")) * F.when(F.col("k") == F.col("n") - 1, 1.0).otherwise(0.1)
+    return placed.groupBy("user_id").agg(F.round(F.sum(F.col("value") * weight), 6).alias("ema"))
 
 
 @query("""SELECT rule_id, tp, fp, f1 FROM (SELECT *, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 6) AS f1 FROM (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS p, coalesce(tp / nullif(tp + fn, 0), 0) AS r FROM (SELECT k.rule_id, count(*) FILTER (WHERE contains(lower(text), k.rule_id) AND toxic = 1) AS tp, count(*) FILTER (WHERE contains(lower(text), k.rule_id) AND toxic = 0) AS fp, count(*) FILTER (WHERE NOT contains(lower(text), k.rule_id) AND toxic = 1) AS fn
