@@ -28,9 +28,10 @@ def _hash(key: Column) -> Column:
 
 def numbered_lines(docs: DataFrame) -> DataFrame:
     """Non-blank lines of (source, id, content): (source, id, line_no, h)."""
-    lines = docs.select("source", "id", F.posexplode(F.split("content", "\n", -1)).alias("pos", "line"))
-    keyed = lines.select("source", "id", (F.col("pos") + 1).alias("line_no"), line_key(F.col("line")).alias("k"))
-    return keyed.where("k <> ''").select("source", "id", "line_no", _hash(F.col("k")).alias("h"))
+    # keys are made inside the array, so that the filter behind does not make them again
+    keys = F.transform(F.split("content", "\n", -1), line_key)
+    keyed = docs.select("source", "id", F.posexplode(keys).alias("pos", "k")).where("k <> ''")
+    return keyed.select("source", "id", (F.col("pos") + 1).alias("line_no"), _hash(F.col("k")).alias("h"))
 
 
 @dataclass
@@ -48,10 +49,9 @@ def line_delta(docs: DataFrame, seen: DataFrame | None = None) -> LineState:
     The hashes of a document travel as one array under (source, id), so repeats
     meet without moving text; counts are combined before they are shuffled.
     """
-    hashes = F.array_distinct(
-        F.transform(F.split(F.coalesce("content", F.lit("")), "\n", -1), lambda x: F.when(line_key(x) != "", _hash(line_key(x))))
-    )
-    slim = docs.where(F.col("source").isNotNull() & F.col("id").isNotNull()).select("source", "id", F.filter(hashes, lambda x: x.isNotNull()).alias("hs"))
+    keys = F.filter(F.transform(F.split("content", "\n", -1), line_key), lambda k: k != "")
+    hashes = F.coalesce(F.array_distinct(F.transform(keys, _hash)), F.array().cast("array<struct<a:bigint,b:bigint>>"))
+    slim = docs.where(F.col("source").isNotNull() & F.col("id").isNotNull()).select("source", "id", hashes.alias("hs"))
     if seen is not None:
         slim = slim.join(seen, ["source", "id"], "left_anti")
     one = slim.groupBy("source", "id").agg(F.array_distinct(F.flatten(F.collect_set("hs"))).alias("hs"))
@@ -116,6 +116,6 @@ def without_lines(docs: DataFrame, spots: DataFrame) -> DataFrame:
 def source_documents(updates: DataFrame, sources: DataFrame) -> DataFrame:
     """Updates whose source is registered under any period: (source, id, content)."""
     known = sources.select(id_key(F.col("id")).alias("source")).where("source is not null").distinct()
-    docs = updates.select(id_key(F.col("source_id")).alias("source"), "id", "content").where("source is not null")
+    docs = updates.where(F.col("source_id").isNotNull()).select(id_key(F.col("source_id")).alias("source"), "id", "content").where("source is not null")
     few, small = broadcast_if_small(known, 64)
     return salted_join(docs, few, ["source"], "left_semi", 1 if small else 8, F.xxhash64("id"))
