@@ -48,8 +48,8 @@ def orphan_report(found: DataFrame, record: str, table: Column, period: Column)
 
 
 def update_references(updates: DataFrame) -> DataFrame:
-    """Updates as child rows: (id, key, at)."""
-    return updates.select("id", id_key(F.col("source_id")).alias("key"), F.col("found_date").alias("at"))
+    """Updates with a source as child rows: (id, key, at)."""
+    return updates.where(F.col("source_id").isNotNull()).select("id", id_key(F.col("source_id")).alias("key"), F.col("found_date").alias("at"))
 
 
 def source_periods(sources: DataFrame) -> DataFrame:

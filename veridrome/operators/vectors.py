@@ -30,10 +30,12 @@ def nearest(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int =
     """
     n = queries.count()
     blocks = max(1, -(-n // BLOCK))
-    packed = queries.groupBy(F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("_b")).agg(F.collect_list(F.struct(F.col(key).alias("q"), F.col(vector).alias("v"))).alias("_qs"))
-    every = rows.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    # unit vectors, so that a pair costs one product; made before the rows are repeated
+    unit = queries.select(key, V.normalise(F.col(vector)).alias("v"))
+    packed = unit.groupBy(F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("_b")).agg(F.collect_list(F.struct(F.col(key).alias("q"), "v")).alias("_qs"))
+    every = rows.select(key, V.normalise(F.col(vector)).alias("_v")).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     pairs = every.join(F.broadcast(packed) if n <= BROADCAST_QUERIES else packed, "_b")
-    scored = pairs.select(F.col(key), F.explode(F.transform("_qs", lambda x: F.struct(x["q"].alias("query"), V.cosine(F.col(vector), x["v"]).alias("score")))).alias("s"))
+    scored = pairs.select(F.col(key), F.explode(F.transform("_qs", lambda x: F.struct(x["q"].alias("query"), V.dot(F.col("_v"), x["v"]).alias("score")))).alias("s"))
     flat = scored.select("s.query", key, F.round("s.score", 6).alias("score")).where(F.col("query") != F.col(key))
     # the optimiser turns the rank filter into a limit per task before the shuffle
     w = Window.partitionBy("query").orderBy(F.desc("score"), key)
