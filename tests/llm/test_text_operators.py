@@ -29,6 +29,9 @@ CASES = [
     ("The Marlpit Lane ruling; Calle del Molino 44; Tuchmacherstr. 41A; 12 rue du Vieux Four at noon", [("address", "Calle del Molino 44"), ("address", "Tuchmacherstr. 41A"), ("address", "12 rue du Vieux Four")]),
     ("Dear Mrs Varrermund, signed Kenji L. Torashiro-Bric and p. by K. Ulmottavi", [("name", "Varrermund"), ("name", "Kenji L. Torashiro-Bric"), ("name", "K. Ulmottavi")]),
     ("the Greta toolkit and the Felix scanner", []),
+    ("Wendingsgard, Felix wrote of the Felix scanner", [("name", "Wendingsgard, Felix")]),
+    ("sent to Calle Hilandera 116, Port Ilven. The Tannery Road ruling", [("address", "Calle Hilandera 116")]),
+    ("on +1 808 555 0101 The Old Kiln Street ruling; SSN 936 10 7420 The Bright Quay Registry", [("phone", "+1 808 555 0101"), ("id_number", "936 10 7420")]),
     ("​Sib‍andrel, Björn wrote", [("name", "Sib‍andrel, Björn")]),
     ("４１５-５５５-０１６８", [("phone", "４１５-５５５-０１６８")]),
     ("", []),

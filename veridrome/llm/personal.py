@@ -114,6 +114,8 @@ _WORD = rf"{_L}{{2,}}(?:[-'’]{_L}{{2,}})*"
 _SUR = rf"{_L}{{3,}}(?:[-'’]{_L}{{3,}})*"
 _INIT = rf"{_L}\."
 _BIG = r"(?-i:[A-ZÀ-Þ])[\w'’-]*"
+#: Words that open a sentence behind a number and so begin no street name.
+_OPENER = r"(?:the|a|an|in|no|each|two|only|under|after|if|for|please|several|staff|records|members|guidance|costs|it|when|that|this)"
 _STREET = "|".join(W.STREET)
 _UNIT = r"(?:flat|apt\.?|apartment|suite|unit|ste\.?|room|floor|no\.?)\s*#?\d+[a-z]?(?!\w)"
 
@@ -134,7 +136,7 @@ SOCIAL = re.compile(W.SOCIAL, re.I)
 ADDRESSES = [
     (re.compile(hint, re.I), re.compile(form, re.I))
     for hint, form in (
-        (rf"\b(?:{_STREET})\b", rf"(?<![\w/-])(?:{_UNIT},\s*)?\d{{1,5}}\s?[A-Za-z]?(?:\s?[-/]\s?\d{{1,4}}[A-Za-z]?)?,?\s+(?:{_L}[\w'’-]*\.?\s+){{1,4}}?(?:{_STREET})\b\.?(?:,\s*{_UNIT})?"),
+        (rf"\b(?:{_STREET})\b", rf"(?<![\w/-])(?:{_UNIT},\s*)?\d{{1,5}}\s?[A-Za-z]?(?:\s?[-/]\s?\d{{1,4}}[A-Za-z]?)?\s+(?!{_OPENER}\b)(?:(?:st\.|{_L}[\w'’-]*)\s+){{1,4}}?(?:{_STREET})\b\.?(?:,\s*{_UNIT})?"),
         (r"\b(?:calle|avenida|avda|plaza|paseo|camino|carrera)\b", rf"(?<!\w)(?:calle|avenida|avda\.?|plaza|paseo|camino|carrera)\s+(?:(?:de|del|la|las|los|el)\s+)*(?:{_L}[\w'’-]*\s+){{1,3}}\d{{1,4}}[a-z]?(?!\w)(?:,\s*{_UNIT})?"),
         (r"(?:str\.|straße|strasse|weg|gasse|platz|allee|ufer|ring|damm)\s+\d", rf"(?<!\w){_L}[\w'’-]*(?:str\.|straße|strasse|weg|gasse|platz|allee|ufer|ring|damm)\s+\d{{1,4}}[a-z]?(?!\w)(?:,\s*{_UNIT})?"),
         (r"\b(?:rue|avenue|boulevard|place|quai|impasse|chemin|allée)\b", rf"(?<![\w/-])\d{{1,4}}(?:[a-z](?!\w))?(?:\s?(?:bis|ter))?,?\s+(?:rue|avenue|boulevard|place|quai|impasse|chemin|allée)\s+(?:(?:de|du|des|la|le|les)\s+|(?:d|l)['’])*{_BIG}(?:\s+{_BIG})?"),
@@ -206,7 +208,7 @@ def _names(text: str, taken: bytearray) -> list[tuple[int, int]]:
             name = name[: name.rindex(last)].rstrip()
         add(a, a + len(name))
     for m in INITIALS.finditer(text):
-        if (_style(m[2]) in ("title", "upper") and _fold(m[2]) not in STOP and len(m[2]) >= 4 and not re.search(r"\d\s$", text[: m.start()][-2:])):
+        if _style(m[2]) in ("title", "upper") and _fold(m[2]) not in STOP and len(m[2]) >= 4:
             add(m.start(), m.end())
     for i, ok in enumerate(given):  # surname, comma, given name
         if ok and i and text[tokens[i - 1][1] : tokens[i][0]] in (", ", ","):
@@ -219,7 +221,8 @@ def _names(text: str, taken: bytearray) -> list[tuple[int, int]]:
         if n and not any(_fold(w.rstrip(".")) in STOP for w in n[0].split()) and not n[0].endswith("."):
             add(m.end(), m.end() + n.end())
     # parts of a name found above, where they stand alone
-    surnames = {text[a:b].split()[-1] for a, b in found if len(text[a:b].split()) > 1}
+    whole = [text[a:b] for a, b in found if len(text[a:b].split()) > 1]
+    surnames = {s for n in whole if _fold(s := n.partition(",")[0].split()[-1]) not in GIVEN}
     for a, b, w in (tokens or ((m.start(), m.end(), m[0]) for m in TOKEN.finditer(text))) if surnames else ():
         if w.rstrip(".") in surnames and _style(w) == "title":
             add(a, a + len(w.rstrip(".")))
