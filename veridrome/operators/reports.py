@@ -50,7 +50,7 @@ def compliance_rates(df: DataFrame, by: list[str], ok: str, score: str | None =
     """Rows, compliant rows, rate (1 if there is none) and mean score per group."""
     aggs = [F.count(F.lit(1)).alias("n"), F.count_if(F.col(ok)).alias("n_compliant")]
     if score:
-        aggs.append(F.round(F.coalesce(F.avg(score), F.lit(0.0)), 6).alias("mean_score"))
+        aggs.append(F.round(F.coalesce(F.avg(score), F.lit(0.0)), 9).alias("mean_score"))
     g = df.groupBy(*by).agg(*aggs)
     return g.withColumn("rate", F.round(S.safe_ratio(F.col("n_compliant"), F.col("n"), 1.0), 6))
 
@@ -116,8 +116,8 @@ def with_rates(g: DataFrame) -> DataFrame:
 
 def percentiles(df: DataFrame, by: list[str], value: str, at: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
     """Mean and exact percentiles (linear between neighbours) per group."""
-    aggs = [F.round(F.percentile(value, p), 6).alias(f"p{round(p * 100)}") for p in at]
-    return df.groupBy(*by).agg(F.round(F.avg(value), 6).alias("mean"), *aggs)
+    aggs = [F.round(F.percentile(value, p), 9).alias(f"p{round(p * 100)}") for p in at]
+    return df.groupBy(*by).agg(F.round(F.avg(value), 9).alias("mean"), *aggs)
 
 
 def conflicts(df: DataFrame, key: str, items: str) -> DataFrame:

@@ -52,7 +52,7 @@ def audit_point_lookup(spark, d):
     return a.join(least, "entry_id", "left_semi").select("entry_id", "user_id", "session_id")
 
 
-@query(f"""SELECT framework_id, count(*) AS n, count(*) FILTER (WHERE compliance_result) AS n_compliant, round(coalesce(avg(compliance_score), 0), 6) AS mean_score,
+@query(f"""SELECT framework_id, count(*) AS n, count(*) FILTER (WHERE compliance_result) AS n_compliant, round(coalesce(avg(compliance_score), 0), 9) AS mean_score,
 round(count(*) FILTER (WHERE compliance_result) / count(*), 6) AS rate FROM {_A} GROUP BY framework_id""")
 def audit_report(spark, d):
     """Entries, compliant ones, rate and mean score per framework."""
@@ -154,7 +154,7 @@ def audit_type_shares(spark, d):
     return R.share_of_total(_audit(spark, d, "event_type"), "event_type")
 
 
-@query(f"""SELECT framework_id, round(avg(compliance_score), 6) AS mean, round(quantile_cont(compliance_score, 0.5), 6) AS p50, round(quantile_cont(compliance_score, 0.95), 6) AS p95, round(quantile_cont(compliance_score, 0.99), 6) AS p99 FROM {_A} WHERE compliance_score IS NOT NULL GROUP BY framework_id""")
+@query(f"""SELECT framework_id, round(avg(compliance_score), 9) AS mean, round(quantile_cont(compliance_score, 0.5), 9) AS p50, round(quantile_cont(compliance_score, 0.95), 9) AS p95, round(quantile_cont(compliance_score, 0.99), 9) AS p99 FROM {_A} WHERE compliance_score IS NOT NULL GROUP BY framework_id""")
 def audit_score_percentiles(spark, d):
     """Mean and percentiles of scores per framework."""
     return R.percentiles(_audit(spark, d, "framework_id", "compliance_score").where("compliance_score is not null"), ["framework_id"], "compliance_score")
