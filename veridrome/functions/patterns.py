@@ -38,6 +38,10 @@ HEALTH = {
 #: Order in which text is rewritten.
 REDACTION = ("email", "ssn", "phone", "credit_card")
 
+#: White space and word characters of any script; Java's ``\\s``, ``\\d`` and ``\\w`` know those of ASCII, its ``\\b`` differs between versions.
+SPACE = r"[\s\x0B\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+EDGES = (r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])")
+
 MATCH = "array<struct<text:string,start:int,end:int>>"
 
 
@@ -52,6 +56,15 @@ def check(pattern: str) -> str:
     return pattern
 
 
+def any_script(pattern: str) -> str:
+    """A pattern that begins and ends with ``\\b`` around word characters, for texts of any script."""
+    flags, begin, rest = check(pattern).partition(r"\b")
+    body, end, after = rest.rpartition(r"\b")
+    if flags not in ("", "(?i)") or not begin or not end or after or r"\b" in body:
+        raise ValueError(f"not between two word edges: {pattern}")
+    return flags.replace("i", "iu") + EDGES[0] + "(?:" + body.replace(r"\s", SPACE).replace(r"\d", r"\p{Nd}") + ")" + EDGES[1]
+
+
 def matches(text: Column, pattern: str) -> Column:
     """All matches with their half-open 0-based offsets; an empty array for none, null for null."""
     p = F.lit(check(pattern))

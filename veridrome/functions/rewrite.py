@@ -26,13 +26,14 @@ def without_spans(text: Column, spans: Column) -> Column:
     return F.aggregate(spans, first, lambda a, s: F.struct(s["end"].cast("int").alias("at"), keep(a, s).alias("out")).cast(kind), lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, 2147483647)))
 
 
-def replace_terms(text: Column, terms: dict[str, str], keep_case: bool = True) -> Column:
-    """Whole words replaced in the given order; capitalised and upper-case forms keep their case."""
+def replace_terms(text: Column, terms: dict[str, str], keep_case: bool = True, edges: tuple[str, str] = (r"\b", r"\b")) -> Column:
+    """Whole words (between ``edges``) replaced in the given order; capitalised and upper-case forms keep their case."""
+    begin, end = edges
     for a, b in terms.items():
-        text = F.regexp_replace(text, rf"\b{a}\b", b)
+        text = F.regexp_replace(text, f"{begin}{a}{end}", b)
         if keep_case:
-            text = F.regexp_replace(text, rf"\b{a.capitalize()}\b", b.capitalize())
-            text = F.regexp_replace(text, rf"\b{a.upper()}\b", b.upper())
+            text = F.regexp_replace(text, f"{begin}{a.capitalize()}{end}", b.capitalize())
+            text = F.regexp_replace(text, f"{begin}{a.upper()}{end}", b.upper())
     return text
 
 

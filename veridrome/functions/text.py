@@ -23,9 +23,13 @@ def word_count(text: Column) -> Column:
     return F.size(words(text)).cast("long")
 
 
-def sentences(text: Column) -> Column:
-    """Sentences: split behind ``.``, ``!`` or ``?`` that white space follows; trimmed, none blank."""
-    parts = F.transform(F.split(text, r"(?<=[.!?])\s+"), lambda s: F.trim(s))
+def sentences(text: Column, space: str | None = None) -> Column:
+    """Sentences: split behind ``.``, ``!`` or ``?`` that white space follows; trimmed, none blank.
+
+    ``space`` is a character class that stands for ASCII white space in the split and blanks in the trimming.
+    """
+    trim = (lambda s: F.regexp_replace(s, f"^{space}+|{space}+$", "")) if space else F.trim
+    parts = F.transform(F.split(text, rf"(?<=[.!?]){space or chr(92) + 's'}+"), trim)
     return F.coalesce(F.filter(parts, lambda s: s != ""), F.array().cast("array<string>"))
 
 

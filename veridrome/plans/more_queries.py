@@ -100,6 +100,12 @@ def rewrite_terms_keep_case(spark, d):
     return _docs(spark, d, "lang").where("lang = 'en'").select("doc_id", W.replace_terms(F.col("text"), _MAP).alias("rewritten"))
 
 
+@query()
+def rewrite_terms_keep_case_all(spark, d):
+    """Terms of documents of every language replaced with their case kept; checked against a loop in the tests."""
+    return _docs(spark, d).select("doc_id", W.replace_terms(F.col("text"), _MAP, edges=P.EDGES).alias("rewritten"))
+
+
 @query(f"SELECT chunk_id, CASE WHEN contains(text, 'Not legal advice.') THEN text ELSE text || chr(10) || chr(10) || 'Not legal advice.' END AS noticed, regexp_replace(text, '\\b(\\d{{3}})[-. ]\\d{{3}}[-. ]\\d{{4}}\\b', '\\1-***-****', 'g') AS area_only FROM {_CH}")
 def rewrite_notice(spark, d):
     """A notice added once; phone numbers reduced to their area code."""
@@ -222,6 +228,14 @@ def rule_sentence_kinds(spark, d):
     return s.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query()
+def rule_sentence_kinds_all(spark, d):
+    """Sentences of every language by whether they forbid, demand or allow; checked against a loop in the tests."""
+    s = _docs(spark, d).select(F.explode(F.transform(T.sentences(F.col("text"), P.SPACE), lambda x: F.lower(x))).alias("s"))
+    kind = F.when(F.col("s").rlike(r"(?:must not|may not|prohibited|no [^\n]* may be)"), "prohibition").when(F.col("s").rlike("(?:must|shall|have to|required)"), "obligation").when(F.col("s").rlike("(?:may|can|allowed)"), "permission").otherwise("other")
+    return s.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("""SELECT doc_id, list_transform(regexp_extract_all(text, '\\b[Mm]ust [a-z]+'), lambda x: split_part(x, ' ', 2)) AS actions FROM documents WHERE regexp_matches(text, '\\b[Mm]ust [a-z]+')""")
 def rule_required_actions(spark, d):
     """Words that follow a demand."""

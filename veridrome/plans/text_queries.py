@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veridrome.functions import patterns as P
+from veridrome.functions import rewrite as W
 from veridrome.functions import text as T
 from veridrome.functions.keys import strip
 from veridrome.plans.registry import registry
@@ -128,6 +129,13 @@ def text_health_flags(spark, d):
     return docs.unionByName(rows).groupBy(bits.cast("int").alias("hex")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query()
+def text_health_flags_all(spark, d):
+    """Texts of every language by the set of health patterns they match; checked against a loop in the tests."""
+    bits = sum(F.when(F.col("text").rlike(P.any_script(p)), 2**i).otherwise(0) for i, p in enumerate(P.HEALTH.values()))
+    return _docs(spark, d).groupBy(bits.cast("int").alias("hex")).agg(F.count(F.lit(1)).alias("n"))
+
+
 _DOC = "(SELECT * FROM documents WHERE text IS NOT NULL)"
 _WORDS = "CASE WHEN trim(regexp_replace(text, '[\\x09-\\x0D ]+', ' ', 'g'), ' ') = '' THEN 0 ELSE len(string_split(trim(regexp_replace(text, '[\\x09-\\x0D ]+', ' ', 'g'), ' '), ' ')) END"
 
@@ -195,6 +203,12 @@ def text_sentence_counts(spark, d):
     return _docs(spark, d, "lang").where("lang = 'en'").select("doc_id", F.size(T.sentences(F.col("text"))).cast("long").alias("n_sentences"))
 
 
+@query()
+def text_sentence_counts_all(spark, d):
+    """Sentences of each document of every language; checked against a loop in the tests."""
+    return _docs(spark, d).select("doc_id", F.size(T.sentences(F.col("text"), P.SPACE)).cast("long").alias("n_sentences"))
+
+
 @query("""WITH c AS (SELECT doc_id, ch, count(*) AS n FROM (SELECT doc_id, unnest(string_split(title, '')) AS ch FROM (SELECT doc_id, source AS title FROM documents WHERE source IS NOT NULL)) WHERE ch <> '' GROUP BY ALL),
 t AS (SELECT doc_id, n, sum(n) OVER (PARTITION BY doc_id) AS total FROM c)
 SELECT doc_id, round(-sum(n / total * log2(n / total)), 6) AS bits FROM t GROUP BY doc_id""")
@@ -286,6 +300,12 @@ def text_term_replacement(spark, d):
     return _docs(spark, d, "lang").where("lang = 'en'").select("doc_id", t.alias("rewritten"))
 
 
+@query()
+def text_term_replacement_all(spark, d):
+    """Whole words of documents of every language replaced by an ordered term map; checked against a loop in the tests."""
+    return _docs(spark, d).select("doc_id", W.replace_terms(F.col("text"), _TERMS, False, P.EDGES).alias("rewritten"))
+
+
 @query(f"SELECT chunk_id, array_to_string(list_filter(string_split(text, '. '), lambda s: NOT (regexp_matches(s, '{EMAIL}') OR regexp_matches(s, '{PHONE}'))), '. ') AS kept FROM {_CH}")
 def text_drop_sentences(spark, d):
     """Texts without the sentences that hold an e-mail address or a phone number."""
