@@ -69,6 +69,23 @@ def test_nested_against_walk(spark):
     assert ("deep", "violations[1]" + ".related[1]" * 7) in got
 
 
+@pytest.mark.parametrize("wrapper", ["details", "a.b"])
+def test_nested_wrapper_below_the_first_round(spark, wrapper):
+    for place in (1, 5, 6, 7):  # levels that the first round unrolls, hands on, and that the next one does
+        v, path, want = {"x": 1}, "violations[1]", {"violations[1]": None}
+        for k in reversed(range(8)):
+            v = {"related": [v, {}]}
+            v = {wrapper: v} if k == place else v
+        for k in range(8):
+            below = path + (f".{wrapper}" if k == place else "") + ".related"
+            want |= {f"{below}[1]": path, f"{below}[2]": path}
+            path = f"{below}[1]"
+        df = spark.createDataFrame([("r", json.dumps([v]))], "id string, violations string")
+        n = {r.node_path: r for r in nested.explode_levels(nested.roots(df, "t", "id", {"violations": df.violations})).collect()}
+        assert {k: r.parent_path for k, r in n.items()} == want
+        assert {r.level for r in n.values() if r.parent_path} == {"related"}
+
+
 def test_nested_links_and_types(spark):
     df = spark.createDataFrame(DOCS[:1], "id string, violations string")
     n = nested.explode_levels(nested.roots(df, "t", "id", {"violations": df.violations}))

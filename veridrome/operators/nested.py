@@ -154,19 +154,20 @@ def _type(paths: set[str], at: str, depth: int) -> T.DataType:
     return T.ArrayType(T.StructType(fields))
 
 
-def _explode(arr: Column, kind: T.ArrayType, name: str, base: Column, parent: Column) -> Column:
-    """The rows of one array level and of all below it, as an array of structs."""
+def _explode(arr: Column, kind: T.ArrayType, at: str, base: Column, parent: Column) -> Column:
+    """The rows of one array level (``at`` in the merged schema) and of all below it, as an array of structs."""
 
     def element(x: Column, i: Column) -> Column:
         path = F.concat(base, F.lit("["), (i + 1).cast("string"), F.lit("]"))
         own = F.struct(
             path.alias("node_path"),
             parent.alias("parent_path"),
-            F.lit(name.rpartition(".")[2]).alias("level"),
+            F.lit(at.rpartition("/")[2].rpartition(".")[2]).alias("level"),
             (i + 1).cast("int").alias("ordinal"),
             x["@"].alias("attributes"),
             F.lit(None).cast("string").alias("rest"),
             F.lit(None).cast("string").alias("rest_path"),
+            F.lit(None).cast("string").alias("rest_at"),
         )
         parts = [F.array(own)]
         for f in kind.elementType.fields:
@@ -183,16 +184,17 @@ def _explode(arr: Column, kind: T.ArrayType, name: str, base: Column, parent: Co
                     F.lit(None).cast("string").alias("attributes"),
                     child.alias("rest"),
                     below.alias("rest_path"),
+                    F.lit(f"{at}/{f.name}").alias("rest_at"),
                 )
                 parts.append(F.when(child.isNotNull(), F.array(rest)).otherwise(F.array().cast(ROWS)))
             else:
-                parts.append(_explode(child, f.dataType, f.name, below, path))
+                parts.append(_explode(child, f.dataType, f"{at}/{f.name}", below, path))
         return F.when(x.isNotNull(), F.concat(*parts)).otherwise(F.array().cast(ROWS))
 
     return F.coalesce(F.flatten(F.transform(arr, element)), F.array().cast(ROWS))
 
 
-ROWS = "array<struct<node_path:string,parent_path:string,level:string,ordinal:int,attributes:string,rest:string,rest_path:string>>"
+ROWS = "array<struct<node_path:string,parent_path:string,level:string,ordinal:int,attributes:string,rest:string,rest_path:string,rest_at:string>>"
 
 
 def explode_levels(docs: DataFrame, paths: list[str] | None = None) -> DataFrame:
@@ -214,14 +216,13 @@ def explode_levels(docs: DataFrame, paths: list[str] | None = None) -> DataFrame
         rows = F.array().cast(ROWS)
         for s in starts:
             kind = _type(set(paths), s, LEVELS)
-            rows = F.when(F.col("at") == s, _explode(F.from_json("doc", kind), kind, s.rpartition("/")[2], F.col("base"), F.col("parent"))).otherwise(rows)
-        made = current.select("table_name", "record_id", "at", F.explode(rows).alias("r")).select("table_name", "record_id", "at", "r.*")
-        done = made.where(F.col("node_path").isNotNull()).drop("rest", "rest_path", "at")
+            rows = F.when(F.col("at") == s, _explode(F.from_json("doc", kind), kind, s, F.col("base"), F.col("parent"))).otherwise(rows)
+        made = current.select("table_name", "record_id", F.explode(rows).alias("r")).select("table_name", "record_id", "r.*")
+        done = made.where(F.col("node_path").isNotNull()).drop("rest", "rest_path", "rest_at")
         out = done if out is None else out.unionByName(done)
         offset += LEVELS
         if offset < depth:
-            levels = F.regexp_replace(F.regexp_replace("rest_path", r"\[\d+\]", ""), r"\.", "/")
-            current = made.where(F.col("rest").isNotNull()).select("table_name", "record_id", F.col("rest_path").alias("base"), F.col("parent_path").alias("parent"), F.col("rest").alias("doc"), levels.alias("at"))
+            current = made.where(F.col("rest").isNotNull()).select("table_name", "record_id", F.col("rest_path").alias("base"), F.col("parent_path").alias("parent"), F.col("rest").alias("doc"), F.col("rest_at").alias("at"))
     return out.distinct()
 
 
