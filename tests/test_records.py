@@ -94,6 +94,19 @@ def test_nested_links_and_types(spark):
     assert nested.level_table(n, "spans", {"start": "bigint"}).first().start is None
 
 
+def test_every_level_has_a_table(spark):
+    from veridrome.plans import records
+
+    tables = {k: records.QUERIES[f"p3_{k}"](spark, SMALL).collect() for k in nested.ARRAYS}
+    rows = [r for k in tables for r in tables[k]]
+    paths = {(r.table_name, r.record_id, r.node_path) for r in rows}
+    assert len(rows) == len(paths) and all(tables.values())
+    assert paths == {tuple(r) for r in records.p3_found(spark, SMALL).collect()}
+    assert all(r.parent_path is None or (r.table_name, r.record_id, r.parent_path) in paths for r in rows)
+    assert all(r.node_path.endswith(f"{k}[{r.ordinal}]") for k in tables for r in tables[k])
+    assert all(json.loads(r.attributes).get("note") == r.note for k in ("comments", "replies") for r in tables[k])
+
+
 def test_nested_empty(spark):
     df = spark.createDataFrame([], "id string, violations string")
     assert nested.explode_levels(nested.roots(df, "t", "id", {"violations": df.violations})).count() == 0

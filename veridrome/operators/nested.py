@@ -226,14 +226,14 @@ def explode_levels(docs: DataFrame, paths: list[str] | None = None) -> DataFrame
     return out.distinct()
 
 
-def level_table(nodes: DataFrame, level: str, columns: dict[str, str]) -> DataFrame:
+def level_table(nodes: DataFrame, level: str, columns: dict[str, str], attributes: bool = False) -> DataFrame:
     """One flat table of a level: keys, parent link, ordinal and typed columns.
 
     ``columns`` maps attribute names to SQL types; an attribute that is absent
-    or of another type is null.
+    or of another type is null.  With ``attributes`` their JSON text stays beside them.
     """
     typed = [F.get_json_object("attributes", f"$.{k}").try_cast(t).alias(k) for k, t in columns.items()]
-    return nodes.where(F.col("level") == level).select("table_name", "record_id", "node_path", "parent_path", "ordinal", *typed)
+    return nodes.where(F.col("level") == level).select("table_name", "record_id", "node_path", "parent_path", "ordinal", *typed, *(["attributes"] if attributes else []))
 
 
 def compliance_roots(audit: DataFrame, events: DataFrame, attributes: bool = True) -> DataFrame:

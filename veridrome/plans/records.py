@@ -43,6 +43,32 @@ def p3_evidence(spark, d):
     return nested.level_table(_nodes(spark, d), "evidence", {"detector": "string", "confidence": "double"})
 
 
+def p3_violations(spark, d):
+    """The flat table of violations, the roots, with all attributes."""
+    columns = ("rule_id", "severity", "type", "matched_content", "context", "framework")
+    return nested.level_table(_nodes(spark, d), "violations", dict.fromkeys(columns, "string"), True)
+
+
+def p3_related(spark, d):
+    """The flat table of related records, typed, with the link to the parent and all attributes."""
+    return nested.level_table(_nodes(spark, d), "related", {"detector": "string", "confidence": "double"}, True)
+
+
+def p3_reviews(spark, d):
+    """The flat table of reviews, the roots, with all attributes."""
+    return nested.level_table(_nodes(spark, d), "reviews", {"stage": "string", "outcome": "string"}, True)
+
+
+def p3_comments(spark, d):
+    """The flat table of comments, with the link to the review and all attributes."""
+    return nested.level_table(_nodes(spark, d), "comments", {"by": "string", "note": "string"}, True)
+
+
+def p3_replies(spark, d):
+    """The flat table of replies, with the link to the parent and all attributes."""
+    return nested.level_table(_nodes(spark, d), "replies", {"by": "string", "note": "string"}, True)
+
+
 def p3_links(spark, d):
     """Records of each level and of those how many have a parent."""
     n = _nodes(spark, d, False)
@@ -63,7 +89,7 @@ def p4_clock_changes(spark, d):
     return _instants(spark, d).groupBy("table_name", "over").agg(F.count(F.lit(1)).alias("n_values"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_orphans_by_month, p3_found, p3_spans, p3_evidence, p3_links, p4_found, p4_clock_changes)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_orphans_by_month, p3_found, p3_spans, p3_evidence, p3_violations, p3_related, p3_reviews, p3_comments, p3_replies, p3_links, p4_found, p4_clock_changes)}
 
 _KEY = r"lower(regexp_replace({}, '^[\s\x{{0B}}\x{{1C}}-\x{{1F}}\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+|[\s\x{{0B}}\x{{1C}}-\x{{1F}}\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+$', '', 'g'))"
 _ORPHANS = f"""
