@@ -26,7 +26,7 @@ def salted_join(
     few: DataFrame,
     keys: list[str],
     how: str = "inner",
-    salt: int = 8,
+    salt: int | None = None,
     spread: Column | None = None,
     condition: Column | None = None,
 ) -> DataFrame:
@@ -34,11 +34,13 @@ def salted_join(
 
     Every key of ``many`` is split over ``salt`` buckets and each row of ``few``
     is repeated once a bucket, so a key that holds a third of all rows is
-    spread over ``salt`` tasks.  Every row keeps exactly one bucket, so inner,
+    spread over ``salt`` tasks (default: a third of the cluster's cores, at
+    least 8, so such a key keeps no task longer than its fair share).  Every row keeps exactly one bucket, so inner,
     left, left_semi and left_anti joins give the same rows as without salt.
     ``spread`` picks the bucket (default: the hash of the whole row).  The key
     columns of ``few`` are dropped from the result.  Null keys match nothing.
     """
+    salt = salt or max(8, -(-many.sparkSession.sparkContext.defaultParallelism // 3))
     spread = F.xxhash64(*[many[c] for c in many.columns if not isinstance(many.schema[c].dataType, _MAPS)]) if spread is None else spread
     left = many.withColumn("_salt", F.pmod(spread, F.lit(salt)).cast("int"))
     right = few.withColumnsRenamed({k: f"_few_{k}" for k in keys}).withColumn(
@@ -53,12 +55,16 @@ def salted_join(
     return out.drop("_salt", "_few_salt", *[f"_few_{k}" for k in keys])
 
 
-
 def spread(df: DataFrame) -> DataFrame:
-    """Repartition an input that has fewer partitions than the cluster has cores.
+    """Repartition a scan that has fewer partitions than the cluster has cores.
 
-    For passes that are heavy per row.  What is shuffled is at most one scan
-    partition a core; larger inputs already have enough partitions and stay.
+    For passes that are heavy per row.  The decision takes the size of the scanned
+    files from the plan's statistics, without a job; what is shuffled is at most
+    one scan partition a core, and larger inputs stay as they are.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    most = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size()))
+    return df if size >= cores * most else df.repartition(cores)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,15 +29,30 @@ def build_session(app: str = "veridrome", master: str | None = None, **conf: str
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints: the cluster's, else one of our own."""
+    """The shared folder of ``spark.checkpoint.dir``.
+
+    Where it is unset, a local session gets a folder of its own; a cluster has
+    no folder that all its machines share, so that is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="veridrome-checkpoint-"))
-    return named or sc._jsc.sc().getCheckpointDir().get()
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    own = tempfile.mkdtemp(prefix="veridrome-checkpoint-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    spark.conf.set("spark.checkpoint.dir", own)
+    return own
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for tables below the shared one."""
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and cut its lineage."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def materialise(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it: its lineage ends there, and lost executors cost nothing."""
+    folder = folder or work_folder(df.sparkSession, "table")
+    df.write.mode("overwrite").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
