@@ -97,29 +97,68 @@ def some_lines(seed=5):
     return rows + rows[:15]
 
 
+def spots_of(spark, rows, *cuts):
+    """Spots after feeding the rows in slices through a store."""
+    store, df, edges = repeated_lines.LineStore(spark), lines_frame(spark, rows), [0, *cuts, len(rows)]
+    for k, (a, b) in enumerate(zip(edges, edges[1:])):
+        state, _ = store.advance(k, repeated_lines.hashed_documents(lines_frame(spark, rows[a:b])))
+    return {(r.id, int(r.line_no)) for r in repeated_lines.holding(repeated_lines.hashed_documents(df), state.standing).collect()}
+
+
 def test_repeated_lines_against_loop(spark):
     rows = some_lines()
-    df = lines_frame(spark, rows)
-    state = repeated_lines.merge(None, repeated_lines.line_delta(df))
-    got = {tuple(r) for r in repeated_lines.occurrences(df, repeated_lines.crossings(None, state)).collect()}
-    assert {(i, int(n)) for i, n in got} == brute_lines(rows)
+    assert spots_of(spark, rows) == brute_lines(rows)
+    assert spots_of(spark, rows, 20, 61, 100) == brute_lines(rows)
+    assert spots_of(spark, [(None, "x", "a"), ("s", None, "a"), ("s", "y", None)]) == set()
 
 
 def test_repeated_lines_in_deltas(spark):
     rows = some_lines(6)
-    a, b = lines_frame(spark, rows[:50]), lines_frame(spark, rows[40:])
-    first = repeated_lines.merge(None, repeated_lines.line_delta(a))
-    both = repeated_lines.merge(first, repeated_lines.line_delta(b, first.ids))
-    whole = repeated_lines.line_delta(lines_frame(spark, rows))
+    hashed = lambda r: repeated_lines.hashed_documents(lines_frame(spark, r))
+    store = repeated_lines.LineStore(spark)
+    first, _ = store.advance(0, hashed(rows[:50]))
+    both, moved = store.advance(1, hashed(rows[40:]))
+    whole = repeated_lines.line_delta(hashed(rows))
     assert {tuple(r) for r in both.lines.collect()} == {tuple(r) for r in whole.lines.collect()}
-    now = {(r.source, r.h) for r in repeated_lines.excessive(both).collect()}
-    then = {(r.source, r.h) for r in repeated_lines.excessive(first).collect()}
-    moved = {(r.source, r.h, r.excessive) for r in repeated_lines.crossings(first, both).collect()}
-    assert moved == {(*k, True) for k in now - then} | {(*k, False) for k in then - now}
+    now = {(r.source, r.h) for r in repeated_lines.excessive(both.lines, both.totals).collect()}
+    then = {(r.source, r.h) for r in repeated_lines.excessive(first.lines, first.totals).collect()}
+    assert {(r.source, r.h) for r in both.standing.collect()} == now
+    assert {(r.source, r.h, r.excessive) for r in moved.collect()} == {(*k, True) for k in now - then} | {(*k, False) for k in then - now}
+    again = store.load(2)
+    assert {tuple(r) for r in again.totals.collect()} == {tuple(r) for r in whole.totals.collect()}
+
+
+def test_rebuild_follows_both_ways(spark):
+    """Lines that crossed earlier stay out of rebuilt documents, and lines that fell under the share come back."""
+    first = [("s", f"a{i}", f"old notice\nbody {chr(97 + i)}") for i in range(4)]
+    second = [("s", f"b{i}", f"old notice\nnew notice\nbody {chr(107 + i)}") for i in range(3)]
+    third = [("s", f"c{i}", f"text {'x' * i}y") for i in range(60)]
+    store, hashed, shown, known = repeated_lines.LineStore(spark), lambda r: repeated_lines.hashed_documents(lines_frame(spark, r)), {}, []
+    for k, batch in enumerate((first, second, third)):
+        state, crossed = store.advance(k, hashed(batch))
+        known = known + batch
+        docs = lines_frame(spark, known)
+        ids = repeated_lines.to_rebuild(hashed(batch), hashed(known), state, crossed)
+        shown |= {i: c for _, i, c in batch}
+        shown |= {r.id: r.content for r in repeated_lines.without_lines(docs, repeated_lines.holding(hashed(known), state.standing), ids).collect()}
+        bad = brute_lines(known)
+        assert shown == {i: "\n".join(x for n, x in enumerate(c.split("\n"), 1) if (i, n) not in bad) for _, i, c in known}
+    assert shown["b0"].startswith("new notice\n") or shown["b0"].startswith("old notice\nnew notice\n")
+
+
+def test_batches_by_time(spark):
+    from datetime import datetime
+
+    rows = [(s, i, c, None if k % 17 == 0 else datetime(2024, 1 + k % 12, 1)) for k, (s, i, c) in enumerate(some_lines(7))]
+    df = spark.createDataFrame(rows, "source string, id string, content string, at timestamp")
+    hashed, state = repeated_lines.run_batches(spark, df, "at", 4)
+    assert {(r.id, int(r.line_no)) for r in repeated_lines.holding(hashed, state.standing).collect()} == brute_lines([r[:3] for r in rows])
+    hashed, state = repeated_lines.run_batches(spark, df.limit(0), "at", 4)
+    assert repeated_lines.holding(hashed, state.standing).count() == 0
 
 
 def test_lines_removed(spark):
-    df = lines_frame(spark, [("s", "1", "a\nb\n\nc"), ("s", "2", "x")])
+    df = lines_frame(spark, [("s", "1", "a\nb\n\nc"), ("s", "2", "x"), ("s", "3", None)])
     spots = spark.createDataFrame([("1", 2)], "id string, line_no int")
     assert [tuple(r) for r in repeated_lines.without_lines(df, spots).collect()] == [("1", "a\n\nc")]
 

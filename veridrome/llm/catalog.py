@@ -32,18 +32,22 @@ def p1_counts(spark, d):
     return p1_found(spark, d).groupBy("table_name", "kind").agg(F.count(F.lit(1)).alias("n_pieces"), F.countDistinct("record_id").alias("n_records"))
 
 
+#: Batches of time in which the queries of repeated lines feed the updates in.
+BATCHES = 4
+
+
 def _source_docs(spark, d):
-    return repeated_lines.source_documents(table(spark, d, "updates", "id", "source_id", "content"), table(spark, d, "sources", "id"))
+    return repeated_lines.source_documents(table(spark, d, "updates", "id", "source_id", "content", "found_date"), table(spark, d, "sources", "id"), "found_date")
 
 
 def _repeated(spark, d):
     docs = _source_docs(spark, d)
-    state = repeated_lines.merge(None, repeated_lines.line_delta(docs))
-    return docs, repeated_lines.occurrences(docs, repeated_lines.crossings(None, state))
+    hashed, state = repeated_lines.run_batches(spark, docs, "found_date", BATCHES)
+    return docs, repeated_lines.holding(hashed, state.standing)
 
 
 def p5_found(spark, d):
-    """Lines that are excessive in their source."""
+    """Lines that are excessive in their source, after the updates came in by batches of time."""
     return _repeated(spark, d)[1].select(F.col("id").alias("update_id"), F.col("line_no").cast("int").alias("line_no"))
 
 

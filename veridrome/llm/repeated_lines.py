@@ -1,121 +1,220 @@
 """Lines repeated across one source's documents (problem 5).
 
-State per source is two small tables: how many distinct documents hold a line
-(by its 128-bit hash), and how many documents there are.  A new batch is merged
-as a delta; the lines that cross the threshold fall out of the merge, and only
-documents that hold such a line are rebuilt.
-
-Rows delivered several times under one id count once.  Null and empty contents
-count as documents without lines; blank lines are numbered but never counted.
+A pass over the texts turns every document into the 128-bit keys of its lines.
+From there on only keys are read.  Batches of documents (new partitions) are
+merged one after the other into a state of four tables: in how many distinct
+documents of a source a line stands, how many documents a source has, which
+documents were seen, and which lines are excessive at present.  Merging a batch
+gives the lines whose standing changed; both ways count, for a line may also
+fall under the share again as its source grows.  Only documents that hold such
+a line, and the new ones, are rebuilt, each against all lines that are excessive
+at that time.
+
+The tables are written after every batch (see :class:`LineStore`), so a run
+reads what the last one left and never counts the history again.
+
+Rows delivered several times under one id count once; versions of one id with
+different contents are one document that holds the lines of all of them.  Null
+and empty contents count as documents without lines; blank lines are numbered
+but never counted.  Null ids and documents without a source are left out.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veridrome.functions.keys import id_key, line_key
 from veridrome.operators.skew import broadcast_if_small, salted_join
+from veridrome.session import materialise, work_folder
 
 MIN_DOCS, MIN_SHARE = 3, 0.08
+KEY = "struct<a:bigint,b:bigint>"
+PARTS = ("lines", "totals", "ids", "standing")
+
 
+def line_hashes(content: Column) -> Column:
+    """The keys of a text's lines in order; null for blank lines, an empty array for null."""
+    # two steps, so that the key of a line is made once
+    keyed = F.transform(F.split(content, "\n", -1), line_key)
+    hashed = F.transform(keyed, lambda k: F.when(k != "", F.struct(F.xxhash64(k).alias("a"), F.xxhash64(F.concat(F.lit("\u0001"), k)).alias("b"))))
+    return F.coalesce(hashed, F.array().cast(f"array<{KEY}>"))
 
-def _hash(key: Column) -> Column:
-    return F.struct(F.xxhash64(key).alias("a"), F.xxhash64(F.concat(F.lit("\u0001"), key)).alias("b"))
 
+def hashed_documents(docs: DataFrame, *extra: str) -> DataFrame:
+    """(source, id, content) as (source, id, hs): one row for each distinct version, with its line keys.
 
-def numbered_lines(docs: DataFrame) -> DataFrame:
-    """Non-blank lines of (source, id, content): (source, id, line_no, h)."""
-    # keys are made inside the array, so that the filter behind does not make them again
-    keys = F.transform(F.split("content", "\n", -1), line_key)
-    keyed = docs.select("source", "id", F.posexplode(keys).alias("pos", "k")).where("k <> ''")
-    return keyed.select("source", "id", (F.col("pos") + 1).alias("line_no"), _hash(F.col("k")).alias("h"))
+    ``extra`` columns stay.  Texts are read once and not shuffled.
+    """
+    slim = docs.where(F.col("source").isNotNull() & F.col("id").isNotNull())
+    return slim.select("source", "id", *extra, line_hashes(F.col("content")).alias("hs")).distinct()
 
 
 @dataclass
 class LineState:
-    """``lines`` (source, h, n), ``totals`` (source, total), ``ids`` (source, id) seen."""
+    """``lines`` (source, h, n), ``totals`` (source, total), ``ids`` (source, id) seen, ``standing`` (source, h) excessive now."""
 
     lines: DataFrame
     totals: DataFrame
     ids: DataFrame
+    standing: DataFrame | None = None
 
 
-def line_delta(docs: DataFrame, seen: DataFrame | None = None) -> LineState:
-    """The state of one batch of (source, id, content); ids in ``seen`` are left out.
+def line_delta(hashed: DataFrame, seen: DataFrame | None = None) -> LineState:
+    """The counts of one batch of :func:`hashed_documents`; ids in ``seen`` are left out.
 
-    The hashes of a document travel as one array under (source, id), so repeats
-    meet without moving text; counts are combined before they are shuffled.
+    Counts are combined before they are shuffled; a line that stands twice in a
+    document, or in two versions of it, counts once.
     """
-    keys = F.filter(F.transform(F.split("content", "\n", -1), line_key), lambda k: k != "")
-    hashes = F.coalesce(F.array_distinct(F.transform(keys, _hash)), F.array().cast("array<struct<a:bigint,b:bigint>>"))
-    slim = docs.where(F.col("source").isNotNull() & F.col("id").isNotNull()).select("source", "id", hashes.alias("hs"))
     if seen is not None:
-        slim = slim.join(seen, ["source", "id"], "left_anti")
-    one = slim.groupBy("source", "id").agg(F.array_distinct(F.flatten(F.collect_set("hs"))).alias("hs"))
-    lines = one.select("source", F.explode("hs").alias("h")).groupBy("source", "h").agg(F.count(F.lit(1)).alias("n"))
+        hashed = hashed.join(seen, ["source", "id"], "left_anti")
+    one = hashed.groupBy("source", "id").agg(F.array_distinct(F.flatten(F.collect_list("hs"))).alias("hs"))
+    lines = one.select("source", F.explode("hs").alias("h")).where("h is not null").groupBy("source", "h").agg(F.count(F.lit(1)).alias("n"))
     totals = one.groupBy("source").agg(F.count(F.lit(1)).alias("total"))
     return LineState(lines, totals, one.select("source", "id"))
 
 
 def merge(state: LineState | None, delta: LineState) -> LineState:
-    """State after a delta whose ids the state has not seen."""
+    """Counts after a delta whose ids the state has not seen."""
     if state is None:
-        return delta
+        return LineState(delta.lines, delta.totals, delta.ids)
     lines = state.lines.unionByName(delta.lines).groupBy("source", "h").agg(F.sum("n").alias("n"))
     totals = state.totals.unionByName(delta.totals).groupBy("source").agg(F.sum("total").alias("total"))
     return LineState(lines, totals, state.ids.unionByName(delta.ids))
 
 
-def excessive(state: LineState, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
-    """Lines over the threshold: (source, h).
+def excessive(lines: DataFrame, totals: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
+    """Lines over the threshold, of the sources in ``totals``: (source, h).
 
     A source has at most 1 / ``min_share`` times the mean lines of a document
     of them, however many documents it has.
     """
-    often = state.lines.where(F.col("n") >= min_docs)
+    often = lines.where(F.col("n") >= min_docs)
     per_mille = round(min_share * 1000)  # integers keep the border exact
-    kept = salted_join(often, state.totals, ["source"], "inner", 8)
+    kept = salted_join(often, totals, ["source"], "inner", spread=F.col("h.a"))
     return kept.where(F.col("n") * 1000 >= F.col("total") * per_mille).select("source", "h")
 
 
-def crossings(before: LineState | None, after: LineState, **kw) -> DataFrame:
+def standing(before: LineState | None, after: LineState, touched: DataFrame, **kw) -> DataFrame:
+    """Lines that are excessive after a delta: (source, h).
+
+    Only the sources that the delta touched are judged again; the others keep
+    what they had.
+    """
+    now = excessive(after.lines, after.totals.join(touched, "source", "left_semi"), **kw)
+    return now if before is None else now.unionByName(before.standing.join(touched, "source", "left_anti"))
+
+
+def crossings(before: LineState | None, after: LineState) -> DataFrame:
     """Lines whose standing changed: (source, h, excessive)."""
-    now = excessive(after, **kw).withColumn("now", F.lit(True))
     if before is None:
-        return now.select("source", "h", F.lit(True).alias("excessive"))
-    then = excessive(before, **kw).withColumn("then", F.lit(True))
+        return after.standing.withColumn("excessive", F.lit(True))
+    then, now = before.standing.withColumn("then", F.lit(True)), after.standing.withColumn("now", F.lit(True))
     both = then.join(now, ["source", "h"], "full_outer")
     return both.where("now is null or then is null").select("source", "h", F.col("now").isNotNull().alias("excessive"))
 
 
-def occurrences(docs: DataFrame, lines: DataFrame) -> DataFrame:
-    """Where the given lines stand: distinct (id, line_no).
+class LineStore:
+    """The state's tables in a folder, one version for each merged batch."""
+
+    def __init__(self, spark: SparkSession, folder: str | None = None):
+        self.spark, self.folder = spark, folder or work_folder(spark, "repeated-lines")
+
+    def _at(self, version: int, part: str) -> str:
+        return f"{self.folder}/v{version}/{part}"
+
+    def load(self, version: int) -> LineState | None:
+        """The state after ``version`` batches; none at 0."""
+        return LineState(*(self.spark.read.parquet(self._at(version, p)) for p in PARTS)) if version else None
+
+    def advance(self, version: int, hashed: DataFrame, **kw) -> tuple[LineState, DataFrame]:
+        """Merge one batch into a version; gives the new state and the crossings, both read from what was written."""
+        before = self.load(version)
+        delta = line_delta(hashed, before and before.ids)
+        write = lambda df, part: materialise(df, self._at(version + 1, part))
+        delta = LineState(*(write(df, f"delta-{p}") for df, p in zip((delta.lines, delta.totals, delta.ids), PARTS)))
+        new = merge(before, delta)
+        new = LineState(write(new.lines, "lines"), write(new.totals, "totals"), write(new.ids, "ids"))
+        new.standing = write(standing(before, new, delta.totals.select("source"), **kw), "standing")
+        return new, crossings(before, new)
+
+
+def holding(hashed: DataFrame, lines: DataFrame) -> DataFrame:
+    """Where the given lines (source, h) stand: distinct (id, line_no).
 
     The line table is broadcast when a count proves it small, else the join is
     salted: one line may stand in a third of all documents.
     """
-    few, small = broadcast_if_small(lines, 64)
-    spots = numbered_lines(docs).select("source", "id", "line_no", F.col("h.a").alias("ha"), F.col("h.b").alias("hb"))
-    few = few.select("source", F.col("h.a").alias("ha"), F.col("h.b").alias("hb"))
-    few = F.broadcast(few) if small else few
-    hits = salted_join(spots, few, ["source", "ha", "hb"], "left_semi", 1 if small else 16, F.xxhash64("id"))
+    few, small = broadcast_if_small(lines.select("source", F.col("h.a").alias("ha"), F.col("h.b").alias("hb")), 64)
+    spots = hashed.select("source", "id", F.posexplode("hs").alias("pos", "h")).where("h is not null")
+    spots = spots.select("source", "id", (F.col("pos") + 1).alias("line_no"), F.col("h.a").alias("ha"), F.col("h.b").alias("hb"))
+    keys = ["source", "ha", "hb"]
+    hits = spots.join(few, keys, "left_semi") if small else salted_join(spots, few, keys, "left_semi", spread=F.xxhash64("id"))
     return hits.select("id", "line_no").distinct()
 
 
-def without_lines(docs: DataFrame, spots: DataFrame) -> DataFrame:
-    """Rebuild only the documents that hold a spot: (id, content)."""
+def to_rebuild(batch: DataFrame, known: DataFrame, state: LineState, crossed: DataFrame) -> DataFrame:
+    """Ids of the documents that a batch changes: distinct (id).
+
+    New documents (``batch``) with a line that is excessive now, and documents
+    of earlier batches (``known``) with a line that crossed either way.  Both are
+    :func:`hashed_documents`.
+    """
+    return holding(batch, state.standing).select("id").union(holding(known, crossed).select("id")).distinct()
+
+
+def without_lines(docs: DataFrame, spots: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """Rebuild documents without their spots: distinct (id, content).
+
+    ``ids`` names the documents to rebuild (default: those with a spot); one
+    without a spot comes out as it was.  Null contents stay null.
+    """
     drop = spots.groupBy("id").agg(F.collect_set("line_no").alias("gone"))
-    hit = docs.select("id", "content").dropDuplicates(["id"]).join(drop, "id")
+    if ids is not None:
+        drop = ids.join(drop, "id", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
+    hit = docs.select("id", "content").join(drop, "id")
     kept = F.filter(F.split("content", "\n", -1), lambda x, i: ~F.array_contains(F.col("gone"), i + 1))
-    return hit.select("id", F.array_join(kept, "\n").alias("content"))
+    return hit.select("id", F.array_join(kept, "\n").alias("content")).distinct()
 
 
-def source_documents(updates: DataFrame, sources: DataFrame) -> DataFrame:
-    """Updates whose source is registered under any period: (source, id, content)."""
+def source_documents(updates: DataFrame, sources: DataFrame, *extra: str) -> DataFrame:
+    """Updates whose source is registered under any period: (source, id, content) and ``extra`` columns."""
     known = sources.select(id_key(F.col("id")).alias("source")).where("source is not null").distinct()
-    docs = updates.where(F.col("source_id").isNotNull()).select(id_key(F.col("source_id")).alias("source"), "id", "content").where("source is not null")
+    docs = updates.where(F.col("source_id").isNotNull()).select(id_key(F.col("source_id")).alias("source"), "id", "content", *extra).where("source is not null")
     few, small = broadcast_if_small(known, 64)
-    return salted_join(docs, few, ["source"], "left_semi", 1 if small else 8, F.xxhash64("id"))
+    return docs.join(few, "source", "left_semi") if small else salted_join(docs, few, ["source"], "left_semi", spread=F.xxhash64("id"))
+
+
+def time_cuts(rows: DataFrame, column: str, batches: int) -> list:
+    """Times that part the rows into so many batches of about equal size (approximate quantiles of one column)."""
+    marks = [i / batches for i in range(1, batches)]
+    found = rows.select(F.percentile_approx(column, [float(m) for m in marks], 1000).alias("q")).first().q
+    return sorted(set(found or []))
+
+
+def batch_number(column: str, cuts: list) -> Column:
+    """The batch of a row: how many cuts lie before its time; 0 for rows without one."""
+    n = F.lit(0)
+    for c in cuts:
+        n = n + F.coalesce((F.col(column) > F.lit(c)).cast("int"), F.lit(0))
+    return n
+
+
+def run_batches(spark: SparkSession, docs: DataFrame, at: str, batches: int) -> tuple[DataFrame, LineState]:
+    """Feed (source, id, content, ``at``) in batches of time through a new store.
+
+    Gives the hashed documents and the state after the last batch.  An id that
+    is delivered again in a later batch counts in its first one.
+    """
+    store = LineStore(spark)
+    cuts = time_cuts(docs, at, batches)
+    hashed = hashed_documents(docs.withColumn("batch", batch_number(at, cuts)), "batch")
+    folder = f"{store.folder}/documents"
+    hashed.write.partitionBy("batch").parquet(folder)
+    hashed = spark.read.schema(hashed.schema).parquet(folder)
+    state = None
+    for k in range(len(cuts) + 1):
+        state, _ = store.advance(k, hashed.where(F.col("batch") == k))
+    return hashed, state
