@@ -242,8 +242,12 @@ def test_decoding_gives_back(spark):
 # --- leakage
 
 
+def words(t):
+    return re.findall("[a-z0-9]+", t.lower()) if t else []
+
+
 def brute_leaks(docs, items, run=15):
-    grams = lambda t: {tuple(w[i : i + run]) for w in [leakage.words(t)] for i in range(len(w) - run + 1)}
+    grams = lambda t: {tuple(w[i : i + run]) for w in [words(t)] for i in range(len(w) - run + 1)}
     known = {j: grams(t) for j, t in items}
     return {(i, j) for i, t in docs for j in known if grams(t) & known[j]}
 
@@ -265,6 +269,51 @@ def test_leaks_against_brute(spark):
     assert {tuple(r) for r in leakage.leaks(a, b).collect()} == brute_leaks(docs, items)
 
 
+def test_word_codes_are_the_words():
+    texts = ["A b-c, ÀÉ x1\u212a İ9", None, "", "...", "the the a" * 3, "z" * 5000, "ﬁ a\ud800b"]
+    codes, starts = leakage.word_codes(texts)
+    seen = {}
+    for k, t in enumerate(texts):
+        ws = words(t)
+        assert len(ws) == starts[k + 1] - starts[k]
+        for w, c in zip(ws, codes[starts[k] : starts[k + 1]].tolist()):
+            assert seen.setdefault(w, c) == c
+    assert len(set(seen.values())) == len(seen)
+
+
+@pytest.mark.parametrize("wrong,least", [(1, 1.0), (2, 0.99), (3, 0.95)])
+def test_tolerant_recall_against_brute(wrong, least):
+    """Passages of 15 words with random substitutions between unrelated words."""
+    rnd = random.Random(wrong)
+    items = [" ".join(f"i{k}w{i}" for i in range(15)) for k in range(300)]
+    docs = []
+    for t in items:
+        w = t.split()
+        for i in rnd.sample(range(15), wrong):
+            w[i] = f"s{rnd.random()}".replace(".", "")
+        docs.append(" ".join([f"p{rnd.randrange(99)}" for _ in range(20)] + w + ["q"] * 20))
+    block = leakage.Items(list(range(300)), items)
+    found = {(d, i) for d, i, _, near in block.overlaps(docs, 15)}
+    assert found <= {(k, k) for k in range(300)} and len(found) >= least * 300
+
+
+def test_far_passage_on_the_same_diagonal(spark):
+    w = [f"t{i}" for i in range(120)]
+    other = [x if i < 8 or 60 <= i < 80 else f"o{i}" for i, x in enumerate(w)]
+    assert leakage.Items([1], [" ".join(w)]).overlaps([" ".join(other)], 15) == [(0, 1, 20, 25)]
+
+
+def test_items_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(leakage, "BLOCK_WORDS", 40)
+    monkeypatch.setattr(leakage, "BATCH_BYTES", 100)
+    monkeypatch.setattr(leakage, "HITS", 3)
+    texts = [" ".join(f"a{k}b{i}" for i in range(20)) for k in range(9)]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id int, text string")
+    docs = spark.createDataFrame([(f"d{k}", f"x {t} y") for k, t in enumerate(texts)] * 2, "doc_id string, text string")
+    assert {tuple(r) for r in leakage.leaks(docs, items).collect()} == {(f"d{k}", k) for k in range(9)}
+    assert leakage.leaks(docs, items.limit(0)).count() == 0 and leakage.leaks(docs.limit(0), items).count() == 0
+
+
 def test_overlap_tolerates_substitutions(spark):
     w = [f"t{i}" for i in range(60)]
     changed = [x if i % 17 != 16 else "other" for i, x in enumerate(w)]

@@ -104,12 +104,17 @@ def p9_found(spark, d):
 
 
 def p9_leaked_items(spark, d):
-    """Documents per leaked item, with exact runs and with substitutions."""
-    o = leakage.overlaps(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "eval_items", "item_id", "text"))
+    """Documents per leaked item: with an exact run, and with a run or an overlap of twice its length that tolerates substitutions."""
+    o = leakage.overlaps(spread(table(spark, d, "documents", "doc_id", "text")), table(spark, d, "eval_items", "item_id", "text"))
     exact = F.sum((F.col("run") >= leakage.RUN).cast("int")).alias("n_exact")
     return o.groupBy("item_id").agg(exact, F.sum((F.col("near") >= 2 * leakage.RUN).cast("int")).alias("n_tolerant"))
 
 
+def p9_items(spark, d):
+    """Documents with an exact run, per leaked item."""
+    return p9_found(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"))
+
+
 def _judge(spark, d):
     docs = spread(table(spark, d, "documents", "doc_id", "text", "source"))
     return docs, abuse.fit(abuse.rated_sample(docs, table(spark, d, "doc_labels", "doc_id", "toxic")))
@@ -135,7 +140,7 @@ def p10_rates(spark, d):
     return counts.withColumn("rate", F.col("n_abusive") / F.col("n_docs"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p1_counts, p5_found, p5_cleaned, p6_found, p6_bodies, p7_found, p7_kept, p8_ids, p8_round_trip, p9_found, p9_leaked_items, p10_found, p10_scores, p10_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p1_counts, p5_found, p5_cleaned, p6_found, p6_bodies, p7_found, p7_kept, p8_ids, p8_round_trip, p9_found, p9_items, p9_leaked_items, p10_found, p10_scores, p10_rates)}
 
 
 def queries():
@@ -152,16 +157,17 @@ keyed AS (SELECT source, id, line_no, trim(regexp_replace(regexp_replace(lower(l
 counts AS (SELECT source, k, count(DISTINCT id) AS n FROM keyed WHERE k <> '' GROUP BY ALL),
 totals AS (SELECT source, count(DISTINCT id) AS total FROM docs GROUP BY ALL),
 spots AS (SELECT DISTINCT id, line_no FROM keyed JOIN counts USING (source, k) JOIN totals USING (source) WHERE n >= 3 AND n * 1000 >= total * 80)"""
+_LEAKS = """WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS ws FROM documents WHERE text IS NOT NULL),
+v AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS ws FROM eval_items),
+a AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 14], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 13)) AS i FROM w WHERE len(ws) >= 15)),
+b AS (SELECT DISTINCT item_id, array_to_string(ws[i:i + 14], ' ') AS g FROM (SELECT item_id, ws, unnest(range(1, len(ws) - 13)) AS i FROM v WHERE len(ws) >= 15))"""
 SQL = {
     "p5_found": f"WITH {_LINES} SELECT id AS update_id, line_no::INT AS line_no FROM spots",
     "p5_cleaned": f"""WITH {_LINES}
 SELECT id AS update_id, coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (WHERE (id, line_no) NOT IN (SELECT id, line_no FROM spots)), '') AS content
 FROM lines WHERE id IN (SELECT id FROM spots) GROUP BY id""",
-    "p9_found": """WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS ws FROM documents WHERE text IS NOT NULL),
-v AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS ws FROM eval_items),
-a AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 14], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 13)) AS i FROM w WHERE len(ws) >= 15)),
-b AS (SELECT DISTINCT item_id, array_to_string(ws[i:i + 14], ' ') AS g FROM (SELECT item_id, ws, unnest(range(1, len(ws) - 13)) AS i FROM v WHERE len(ws) >= 15))
-SELECT DISTINCT doc_id, item_id FROM a JOIN b USING (g)""",
+    "p9_found": f"{_LEAKS} SELECT DISTINCT doc_id, item_id FROM a JOIN b USING (g)",
+    "p9_items": f"{_LEAKS} SELECT item_id, count(DISTINCT doc_id) AS n_docs FROM a JOIN b USING (g) GROUP BY item_id",
     "p8_round_trip": "SELECT lang, count(*) AS n_docs, count(*)::BIGINT AS n_same FROM documents GROUP BY lang",
 }
 
