@@ -225,12 +225,31 @@ def test_residue_frame(spark):
 TEXTS = [(1, None), (2, ""), (3, "a" * 900 + " b"), (4, " " * 700 + "x"), (5, "é🙂 naïve\n\n don't\t" * 60), (6, "<|endoftext|> x1234 " * 40), (7, "short")]
 
 
-@pytest.mark.parametrize("chunk,overlap,long", [(50, 20, 60), (64, 200, 70), (7, 5, 1)])
-def test_chunked_encoding_equals_whole(spark, chunk, overlap, long):
+def whole(text):
+    return encoding._tokenizer(encoding.vocabulary()).encode(text or "", add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("chunk,overlap", [(50, 20), (64, 200), (7, 5), (2000, 200)])
+def test_chunked_encoding_equals_whole(spark, chunk, overlap):
     df = spark.createDataFrame(TEXTS, "doc_id long, text string")
-    plain = {r.doc_id: r.ids for r in encoding.encode(df).collect()}
-    assert {r.doc_id: r.ids for r in encoding.encode(df, None, chunk, overlap, long).collect()} == plain
-    assert plain[1] == plain[2] == [] and len(plain) == len(TEXTS)
+    got = {r.doc_id: r.ids for r in encoding.encode(df, None, chunk, overlap).collect()}
+    assert got == {i: whole(t) for i, t in TEXTS} and got[1] == got[2] == []
+
+
+def test_chunks_of_random_texts():
+    rnd = random.Random(3)
+    for _ in range(300):
+        t = "".join(rnd.choice(["a", "b", " ", "  ", "\n", "1", "22", "'s", ",", "é", "🙂", "\u3000", "\u200b"]) for _ in range(rnd.randrange(300)))
+        assert encoding._ids([t], encoding.vocabulary(), rnd.randrange(1, 40), rnd.randrange(1, 20)) == [whole(t)]
+
+
+def test_long_texts_are_cut_everywhere():
+    path = encoding.vocabulary()
+    cuts = encoding.stitches("some words, 12 of them. " * 2000, path)
+    assert max(b - a for a, b in zip(cuts, cuts[1:])) <= encoding.CHUNK + 2 * encoding.OVERLAP
+    run = "word " * 500 + "x" * 9000 + " word" * 2000  # the overlap grows over the run, then goes on
+    cuts = encoding.stitches(run, path)
+    assert len(cuts) > 5 and max(b - a for a, b in zip(cuts, cuts[1:])) > 9000
 
 
 def test_decoding_gives_back(spark):

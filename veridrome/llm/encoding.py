@@ -1,11 +1,16 @@
 """Encoding of a corpus with a public tokenizer (problem 8).
 
-Short texts are encoded as they are.  A long text is cut into overlapping
-chunks that are pre-tokenised in parallel.  Two neighbours are stitched at the
-first pre-token boundary that both find in their overlap: from there on their
-scanners agree.  The pieces between the stitches are encoded in parallel and
-their ids concatenated.  A text whose chunks never agree in an overlap (a run
-without boundaries longer than that) is encoded whole.
+Every text is cut into overlapping chunks of ``CHUNK`` code points.  The chunks
+are pre-tokenised on their own; two neighbours are stitched at the first
+pre-token boundary that both find in their overlap, for from there on their
+scanners agree.  Where an overlap has none (a run of one kind of characters that
+is longer), it is doubled until one is found or the text ends.  The pieces between
+the stitches are encoded in batches and their ids concatenated.
+
+One pass over the texts without an exchange: all chunks of a text are handled in
+the task that read it.  A scan split bounds the bytes of such a task, so a long
+text makes none longer than many short ones do, but for a single text that is
+larger than a split.
 
 Null and empty texts have an empty list of ids.  Special tokens in a text are
 ordinary text.
@@ -13,16 +18,19 @@ ordinary text.
 
 from __future__ import annotations
 
+import base64
 import os
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-CHUNK, OVERLAP, LONG = 200_000, 2_000, 400_000
+#: Code points of a chunk, and those that it shares with the next one at first.
+CHUNK, OVERLAP = 2_000, 200
 BATCH = 256
 
 
@@ -43,74 +51,93 @@ def _tokenizer(path: str):
     return t
 
 
+@lru_cache(maxsize=4)
+def _merges(path: str):
+    """The encoder of a rank file."""
+    import public_tokenizers
+    import tiktoken
+
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 def boundaries(text: str, path: str) -> list[int]:
     """Where the pre-tokens of a text start."""
     return [a for _, (a, _) in _tokenizer(path).pre_tokenizer.pre_tokenize_str(text)]
 
 
-def _encode(texts: list[str], path: str) -> list[list[int]]:
-    out: list[list[int]] = []
-    for i in range(0, len(texts), BATCH):
-        out += [e.ids for e in _tokenizer(path).encode_batch(texts[i : i + BATCH], add_special_tokens=False)]
-    return out
-
-
-def _encoder(path: str | None):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        p = path or vocabulary()
-        for pdf in frames:
-            for i in range(0, len(pdf), BATCH):
-                part = pdf.iloc[i : i + BATCH]
-                texts = [t if isinstance(t, str) else "" for t in part["text"]]
-                yield part.drop(columns="text").assign(ids=_encode(texts, p))
+def _found(text: str, start: int, lo: int, hi: int, path: str) -> set[int]:
+    """Boundaries in [lo, hi) that a scan from ``start`` finds.
 
-    return run
+    A piece that ends in white space would be split otherwise without what
+    follows, so those are left out, and so is the end of what was scanned.
+    """
+    at = (start + b for b in boundaries(text[start : hi + 1], path))
+    return {b for b in at if lo <= b < hi and b > start and not text[b - 1].isspace()}
+
+
+def stitches(text: str, path: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
+    """Where a text is cut into pieces that can be encoded on their own, with 0 and its end."""
+    n, cuts = len(text), [0]
+    while cuts[-1] + chunk + overlap < n:
+        last = cuts[-1]
+        start, width = last + chunk, overlap
+        while True:
+            hi = min(n, start + width)
+            # the chunk before was scanned from its own stitch, so what it finds is right
+            met = _found(text, last, start, hi, path) & _found(text, start, start, hi, path)
+            if met:
+                cuts.append(min(met))
+                break
+            if hi == n:
+                return [*cuts, n]
+            width *= 2
+    return [*cuts, n]
+
+
+def _ids(texts: list[str], path: str, chunk: int, overlap: int) -> list[list[int]]:
+    """Ids of each text, over the pieces of all of them."""
+    owner, pieces = [], []
+    for k, t in enumerate(texts):
+        cuts = stitches(t, path, chunk, overlap) if len(t) > chunk + overlap else [0, len(t)]
+        owner += [k] * (len(cuts) - 1)
+        pieces += [t[a:b] for a, b in zip(cuts, cuts[1:])]
+    ranks = path.removesuffix(".json") + ".tiktoken"
+    if os.path.exists(ranks):  # the same vocabulary for a faster library
+        encode = _merges(ranks).encode_ordinary
+        parts = [encode(p) for p in pieces]
+    else:
+        parts = [e.ids for i in range(0, len(pieces), BATCH) for e in _tokenizer(path).encode_batch(pieces[i : i + BATCH], add_special_tokens=False)]
+    out: list[list[int]] = [[] for _ in texts]
+    for k, ids in zip(owner, parts):
+        out[k].extend(ids)
+    return out
 
 
-def _edges(path: str | None, overlap: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _encoder(path: str | None, chunk: int, overlap: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = path or vocabulary()
-        for pdf in frames:
-            heads, tails = [], []
-            for text, start, end in zip(pdf["text"], pdf["start"], pdf["end"]):
-                # a piece that ends in white space would be split otherwise without what follows
-                at = [start + b for b in boundaries(text, p) if b and not text[b - 1].isspace()]
-                heads.append([b for b in at if start < b < start + overlap])
-                tails.append([b for b in at if end <= b < end + overlap])
-            yield pdf.drop(columns="text").assign(head=heads, tail=tails)
+        for batch in batches:
+            for i in range(0, batch.num_rows, BATCH):
+                part = batch.slice(i, BATCH)
+                ids = _ids([t or "" for t in part.column("text").to_pylist()], p, chunk, overlap)
+                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                flat = np.fromiter(chain.from_iterable(ids), np.int32, int(ends[-1]))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["doc_id", "ids"])
 
     return run
 
 
-def encode(docs: DataFrame, path: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP, long: int = LONG) -> DataFrame:
-    """Ids of each text of (doc_id, text): (doc_id, ids).
+def encode(docs: DataFrame, path: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    """Ids of each text of (doc_id, text): (doc_id, ids), one row for each row.
 
-    ``doc_id`` must be unique.  Texts of more than ``long`` code points take
-    the way over chunks.  ``path`` is the vocabulary file (default: the
-    byte-level one of the installed public tokenizers on each executor).
+    ``path`` is the vocabulary file (default: the byte-level one of the installed
+    public tokenizers on each executor); a rank file of the same name beside it
+    is used for the merges.
     """
-    rows = docs.select("doc_id", "text")
-    n = F.coalesce(F.length("text"), F.lit(0))
-    short = rows.where(n <= long).mapInPandas(_encoder(path), "doc_id long, ids array<int>")
-    big = rows.where(n > long)
-    starts = F.sequence(F.lit(0), F.length("text") - 1, F.lit(chunk))
-    cut = big.select("doc_id", "text", F.posexplode(starts).alias("k", "start"))
-    end = F.least(F.col("start") + chunk, F.length("text"))
-    chunks = cut.select("doc_id", "k", "start", end.alias("end"), F.col("text").substr(F.col("start") + 1, F.lit(chunk + overlap)).alias("text"))
-    # the chunks are spread before the scan: they come from few rows
-    edges = chunks.repartition("doc_id", "k").mapInPandas(_edges(path, overlap), "doc_id long, k int, start int, end int, head array<int>, tail array<int>")
-    w = Window.partitionBy("doc_id").orderBy("k")
-    met = F.array_intersect("head", F.lag("tail").over(w))
-    stitched = edges.withColumn("from", F.when(F.col("k") == 0, 0).otherwise(F.array_min(met)))
-    pieces = stitched.withColumn("to", F.lead("from").over(w)).withColumn("last", F.lead("k").over(w).isNull())
-    whole = stitched.groupBy("doc_id").agg(F.bool_or(F.col("from").isNull()).alias("whole"))
-    spans = pieces.join(whole, "doc_id").where("not whole or k = 0").select(
-        "doc_id", "k", F.col("from"), F.when(F.col("whole") | F.col("last"), 2147483647).otherwise(F.col("to")).alias("to")
-    )
-    text = big.join(spans, "doc_id").select("doc_id", "k", F.col("text").substr(F.col("from") + 1, F.col("to") - F.col("from")).alias("text"))
-    parts = text.repartition("doc_id", "k").mapInPandas(_encoder(path), "doc_id long, k int, ids array<int>")
-    joined = parts.groupBy("doc_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("ids"))
-    return short.unionByName(joined)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(_encoder(path, chunk, overlap), f"doc_id {kind}, ids array<int>")
 
 
 @lru_cache(maxsize=4)
