@@ -59,12 +59,13 @@ def spread(df: DataFrame) -> DataFrame:
     """Repartition a scan that has fewer partitions than the cluster has cores.
 
     For passes that are heavy per row.  The decision takes the size of the scanned
-    files from the plan's statistics, without a job; what is shuffled is at most
-    one scan partition a core, and larger inputs stay as they are.
+    files from the plan's statistics, without a job: from ``openCostInBytes`` a
+    core on, scans make at least one partition a core.  So only inputs of a few
+    megabytes a core are shuffled.
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    most = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    most = spark._jsparkSession.sessionState().conf().filesOpenCostInBytes()
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     size = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
     return df if size >= cores * most else df.repartition(cores)
