@@ -360,29 +360,57 @@ def rated(n=120, seed=8):
 def test_abuse_held_out():
     j = abuse.fit(rated(160, 8))
     test = rated(80, 9)
-    guess = [max(j.passage(t) for t in abuse.passages(x)) > j.threshold for x in test["text"]]
-    assert (np.array(guess) == (test["truth"] == 1)).mean() > 0.95
+    guess = j.documents(test["text"].tolist()) > j.threshold
+    assert (guess == (test["truth"] == 1)).mean() > 0.95
+
+
+def test_few_ratings_leave_the_seeds_in_charge():
+    few = rated(12, 11)
+    j = abuse.fit(few)
+    assert j.threshold >= abuse.FLOOR
+    assert (j.documents(["What a worthless piece of trash you are", "halt die Fresse, du Schwein", "The plan was renewed in March."]) > j.threshold).tolist() == [True, True, False]
+
+
+def test_abuse_behind_a_long_text():
+    j = abuse.fit(rated())
+    assert j.documents([LONG + "\nYou are a worthless idiot from banks.", LONG]).tolist()[0] > j.threshold > j.documents([LONG])[0]
 
 
 def test_disguises():
-    for t in ("mor0n", "m o r o n", "m.o.r.o.n", "MORON", "mooooron", "mо​ron"):
+    for t in ("mor0n", "m o r o n", "m.o.r.o.n", "MORON", "mooooron", "mо\u200bron"):
         assert abuse.tokens(t) == ["moron"], t
+        assert abuse.plain_passages([f"you {t} there"])[0] == "you moron there", t
     assert abuse.tokens("l***g") == ["⟦masked⟧"]
+    assert abuse.plain_passages(['He said "No". Fin\u00e9\nx', "", "a  b"])[0].split("\n") == ['he said "no". ⟦quote⟧', "fine", "x", "", "a", "b"]
 
 
 def test_probabilities_sum_to_one():
-    lists = [["a", "b", "a"], ["b", "c"], ["a", "b"]]
-    m = abuse.KneserNey(lists, abuse._shared(lists))
-    for ctx in (("⟨", "⟨"), ("⟨", "a"), ("a", "b"), ("q", "q")):
-        assert sum(m.p(*ctx, w) for w in ("a", "b", "c", "⟩", "unseen")) == pytest.approx(1, abs=1e-9)
+    s = abuse.Sample(abuse.grams(["a b a. b c", "a b"]), np.array([False, False]), np.array([False, False]))
+    m = abuse.KneserNey(s, np.ones(len(s.g.doc)))
+    word = {w: int(np.searchsorted(s.word, c)) for w, c in zip("abc", abuse.hash_words("a b c")[0])} | {"end": int(np.searchsorted(s.word, abuse.CLOSE))}
+    base = m.p1
+    assert base[list(word.values())].sum() + base[np.searchsorted(s.word, abuse.OPEN)] == pytest.approx(1, abs=0.01)
+    for b in ("a", "b"):
+        followers = [i for i in range(len(s.bi)) if s.before_of_bi[i] == word[b] and i in set(s.bi_of_tri.tolist())]
+        p = {int(s.word_of_bi[i]): m.p2[i] for i in followers}
+        assert sum(p.get(w, 0) + m.w2[word[b]] * base[w] for w in range(len(s.word))) == pytest.approx(1, abs=0.01)
+
+
+def test_sample_is_bounded_and_whole(spark):
+    docs = spark.createDataFrame([(i, "x" * (10 * i), "y") for i in range(20)] * 2 + [(99, None, "z")], "doc_id long, text string, n string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)] + [(3, 0), (3, 0), (5, None), (99, 1)], "doc_id long, toxic int")
+    got = abuse.rated_sample(docs, labels)
+    assert sorted(got["doc_id"]) == list(range(20)) and dict(zip(got["doc_id"], got["toxic"]))[3] == 0
+    few = abuse.rated_sample(docs, labels, 8, 300)
+    assert len(few) <= 8 and few["text"].map(len).sum() <= 300 and all(len(t) == 10 * i for i, t in zip(few["doc_id"], few["text"]))
 
 
 def test_scoring_frame(spark):
-    j = abuse.fit(rated())
     df = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "\n \t", "x"), (4, LONG, "x"), (5, "You are a worthless idiot from banks.", "x")], "doc_id long, text string, score string")
+    j = abuse.fit(rated())
     got = {r.doc_id: (r.score, r.abusive) for r in abuse.score(df, j).collect()}
     assert got[1] == got[2] == got[3] == (-5.0, False) and got[5][1] and not got[4][1]
-    assert abuse.fit(rated().head(0)).threshold == abuse.PRIOR
+    assert abuse.fit(rated().head(0), df.limit(0)).documents(["you stupid moron", None]).tolist()[1] == -5.0
 
 
 # --- all queries

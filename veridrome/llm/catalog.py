@@ -114,7 +114,7 @@ def p9_items(spark, d):
 
 def _judge(spark, d):
     docs = spread(table(spark, d, "documents", "doc_id", "text", "source"))
-    return docs, abuse.fit(abuse.rated_sample(docs, table(spark, d, "doc_labels", "doc_id", "toxic")))
+    return docs, abuse.fit(abuse.rated_sample(docs, table(spark, d, "doc_labels", "doc_id", "toxic")), docs)
 
 
 def p10_found(spark, d):

@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veridrome.llm.codes import ODD, powers
+
 #: Equal words that make a leak.
 RUN = 15
 #: Masks: 1 counts, 0 is ignored.  Together they hit every passage of 15 words with up to 3 substitutions.
@@ -36,22 +38,8 @@ TOLERANCE = 0.8
 BLOCK_WORDS, BATCH_BYTES = 500_000, 1 << 22
 #: Hits whose surroundings are compared at once.
 HITS = 1 << 15
-_ODD = np.uint64(0x9E3779B97F4A7C15)
 _IS_WORD = np.zeros(256, bool)
 _IS_WORD[list(b"abcdefghijklmnopqrstuvwxyz0123456789")] = True
-_POWERS = np.ones(1 << 8, np.uint64)
-
-
-def _powers(n: int) -> np.ndarray:
-    """Powers of the multiplier of word codes."""
-    global _POWERS
-    if n > len(_POWERS):
-        with np.errstate(over="ignore"):
-            _POWERS = np.cumprod(np.full(1 << (n - 1).bit_length(), _ODD), dtype=np.uint64)
-    elif _POWERS[0] == 1:
-        with np.errstate(over="ignore"):
-            _POWERS = np.cumprod(np.full(len(_POWERS), _ODD), dtype=np.uint64)
-    return _POWERS
 
 
 def word_codes(texts: list) -> tuple[np.ndarray, np.ndarray]:
@@ -72,8 +60,8 @@ def word_codes(texts: list) -> tuple[np.ndarray, np.ndarray]:
     first = np.concatenate(([0], np.cumsum(size)[:-1]))
     place = np.arange(len(at)) - np.repeat(first, size)
     with np.errstate(over="ignore"):
-        h = np.add.reduceat(raw[at].astype(np.uint64) * _powers(int(size.max()))[place], first)
-        h = (h ^ (h >> np.uint64(31))) * _ODD
+        h = np.add.reduceat(raw[at].astype(np.uint64) * powers(int(size.max()))[place], first)
+        h = (h ^ (h >> np.uint64(31))) * ODD
     return h, np.concatenate(([0], np.searchsorted(begin, ends)))
 
 
@@ -86,7 +74,7 @@ def window_hashes(codes: np.ndarray, mask: str) -> np.ndarray:
     with np.errstate(over="ignore"):
         for i, bit in enumerate(mask):
             if bit == "1":
-                h = (h ^ codes[i : i + n]) * _ODD
+                h = (h ^ codes[i : i + n]) * ODD
                 h ^= h >> np.uint64(29)
     return h
 
