@@ -1,43 +1,13 @@
-"""The small labelled table of page blocks, and the words that mark page furniture.
+"""The small labelled table of page blocks.
 
-Fixed values, written for this library: captions that sites use in menus, words
-of consent notices and page feet, openings of blocks around an article, and two
-lists of labelled blocks from which example pages are put together by a rule.
+Fixed values, written for this library: blocks that stand around an article, by
+where they stand, and blocks of articles, in several languages.  Example pages are
+put together from them by a rule.  All words, captions and densities that the
+operator uses are estimated from these blocks.
 """
 
 from __future__ import annotations
 
-CAPTIONS = (
-    "home news events archive library help forms careers contact about us glossary registers publications statistics "
-    "sitemap newsletter consultations complaints decisions guidance enforcement press room accessibility imprint search "
-    "login menu topics services products support blog shop privacy terms faq jobs media team sign up"
-).split()
-FURNITURE = (
-    "cookie cookies consent share print save send colleague friend replies comments shares subscribe alerts e-mail newsletter "
-    "download pdf edition page pages site website visits traffic settings accept reject optional preferences partners "
-    "browser search navigation skip jump copyright rights reserved version build imprint impressum issn terms privacy accessibility "
-    "top back helpful read reads reader readers listen cite notices advice liability advertisement sponsored announcement "
-    "posted author editor correspondent written updated modified printed helpline weekdays office hours reading edition like network"
-).split()
-#: Openings of a block around an article, after a bullet, in lower case.
-CUES = (
-    r"see also\b", r"related(?: \w+)?:", r"most (?:read|popular|viewed)\b", r"you may also", r"read (?:more|next)\b",
-    r"(?:earlier|previous|older|newer|next)(?: \w+)?:", r"(?:tags?|topics?|categor(?:y|ies)|keywords):", r"filed under\b",
-    r"posted (?:by|on|in)\b", r"by the [\w ]+(?:\||$|·)", r"by [\w ]+\|", r"written (?:for|by)\b", r"authors?:", r"editor on duty\b", r"published (?:by|on)\b.*(?:issn|impressum|·)",
-    r"share (?:this|on|via|it)\b", r"copy link\b", r"print\b.*(?:\||·|/)", r"follow (?:us|our)\b", r"found this useful", r"like it\?", r"did you like",
-    r"listen to this", r"download as\b", r"download (?:the )?pdf", r"sign up\b", r"subscribe (?:for|to|now|here)\b", r"register for\b.*\balerts", r"join \d+", r"join (?:our|the) (?:newsletter|mailing)",
-    r"our free\b", r"(?:advertisement|sponsored notice|announcement|advertorial|sponsored)\b.*:", r"was this (?:page|article|text)\b", r"cite this\b",
-    r"(?:©|\(c\)|copyright)", r"all rights reserved", r"terms of (?:use|service)\b", r"nothing on this (?:page|site)", r"the binding text is\b",
-    r"figures are provisional\b", r"opinions in comments\b", r"translations are made\b", r"reuse is allowed\b", r"page updated\b", r"last (?:modified|updated)\b", r"printed \d",
-    r"(?:office hours|reading room|helpline|opening hours)\b.*:", r"(?:skip|jump|go) to (?:main|page|content|search|navigation|the)\b",
-    r"we (?:and our partners )?(?:use|place) (?:cookies|small files)", r"this (?:site|page|website) (?:uses|stores|places)\b", r"our pages rely on cookies", r"by (?:staying|continuing)\b.*cookies", r"cookies help us\b", r"back to top\b",
-)
-#: Marks anywhere in a block.
-INNER = (
-    r"\bcorrespondent, ", r"\bback to top\b", r"\bcookie policy\b", r"\b(?:accept all|reject optional|manage choices|save preferences|decide later|not now)\b",
-    r"\b\d+ (?:replies|shares|comments|min read)\b", r"\bsend to a friend\b", r"\breading time\b", r"\bissn\b", r"\b(?:build|version) \d", r"\benter your e-mail\b", r"\bopen day\b", r"\breserve a seat\b", r"\breply count\b",
-)
-
 #: Blocks around an article, by where they stand: above, among and below it.
 ABOVE = (
     "Home | News | Archive | Contact", "Forms / Registers / Help / Sitemap", "Library   Careers   Events   Press room [Harbourtown]", "Skip to main content » News · Guidance · Help",
@@ -73,17 +43,54 @@ ARTICLE = (
 )
 
 
+#: Blocks of sites of other kinds and languages.
+MORE_ABOVE = (
+    "Sign in | Register | Basket (0)", "Menu Search Close", "Shop · Brands · Sale · Stores", "Products / Pricing / Support / Docs / Login", "Startseite | Aktuelles | Themen | Presse | Kontakt", "Accueil > Actualités > Dossiers", "Inicio / Noticias / Temas / Contacto",
+    "Skip navigation", "Zum Inhalt springen", "Aller au contenu", "Your privacy matters. We and 120 vendors store data on your device. Agree | More options", "Diese Website verwendet Cookies. Alle akzeptieren | Ablehnen", "Ce site utilise des cookies. Tout accepter / Refuser", "Este sitio usa cookies. Aceptar | Rechazar",
+    "By Jane Doe, 3 May 2023", "Von unserer Redaktion, 3. Mai 2023", "Par la rédaction, le 3 mai 2023", "Posted on 3 May 2023 in News by admin", "Last updated 2 hours ago", "Reading time: 4 minutes", "5 min read · 12 comments", "Breadcrumb: Home » Blog » 2023",
+)
+MORE_AMONG = (
+    "Share on social media", "Tweet | Share | Email | Print", "Click here to subscribe to our newsletter", "Sign up for our newsletter and never miss a story", "Jetzt Newsletter abonnieren", "Abonnez-vous à notre lettre d'information", "Suscríbase a nuestro boletín", "Artikel teilen", "Partager cet article", "Compartir este artículo",
+    "Advertisement", "Anzeige", "Publicité", "Sponsored: great offers for you", "Read also: five tips for the garden", "Read more about this topic", "Lesen Sie auch: Fünf Tipps für den Garten", "À lire aussi : cinq conseils", "Lea también: cinco consejos", "Watch the video", "Follow us on all channels", "Download our app", "Leave a comment", "Log in to comment",
+)
+MORE_BELOW = (
+    "Related articles", "More from this section", "Popular posts", "Trending now", "Tags: garden, tips, spring", "Schlagwörter: Garten, Tipps", "Copyright 2022 Example Ltd. All rights reserved.", "Alle Rechte vorbehalten. Impressum | Datenschutz", "Tous droits réservés. Mentions légales | Contact", "Todos los derechos reservados. Aviso legal | Contacto",
+    "Privacy policy | Terms and conditions | Sitemap", "About | Contact | Careers | Press", "Previous post | Next post", "Older entries « » Newer entries", "Back to top ↑", "Nach oben", "Haut de page", "Contact us: Monday to Friday, 9am to 5pm", "Powered by Example CMS v4.2", "The views expressed are those of the author and do not reflect those of the publisher.", "The information on this site is provided without warranty.", "Was this article helpful? Yes No",
+)
+MORE_ARTICLE = (
+    "The river rose two metres overnight and flooded the lower part of the town.", "Residents were told to leave their homes on Tuesday evening, and most of them did so without help.", "He said that the bridge had been inspected only a month before.", "What happened", "A long night", "1. Boil the water and add the salt.", "- three eggs", "• 200 g of flour", "The committee will meet again in June to decide on the budget for the next year.", "She reads the newsletter of the club every month, and shares it with her neighbours.",
+    "Die Gemeinde hat den Plan im März erneuert und alle Schulen unterrichtet.", "Der Bericht nennt drei Gründe, aus denen die Frist nicht eingehalten wurde.", "La commune a renouvelé son plan en mars, mais le registre manque encore.", "Les habitants demandent que le pont soit contrôlé chaque année.", "El municipio renovó el plan en marzo y avisó a todas las escuelas.", "Los vecinos piden que se revise el puente cada año.", "City | 2021 | 2022", "Harbourtown | 14 | 17", "The law on cookies was passed in 2021 and applies to every website.", "Whoever comments must sign in first, the court held, because the operator is liable otherwise.", "Mix well, then bake for forty minutes.", "Background", "Next steps", "Results of the survey",
+)
+
+#: Notices in whole sentences, and sentences of articles that are as short.
+NOTICES = (
+    "Opinions in comments are those of their authors and are removed on request.", "Comments are those of readers and may be removed.", "Opinions in letters are those of their writers.", "Readers' comments are not checked before they appear.", "Figures are provisional until the office has confirmed them.", "All figures are provisional and may be changed.", "Data are provisional until confirmed by the Example Authority.", "Prices are subject to change until confirmed.",
+    "Translations are made for convenience; the German edition prevails.", "This translation is provided for convenience only; the original edition prevails.", "In case of doubt the printed edition prevails.", "Reuse is allowed if the origin is named.", "Reuse of this text is allowed with the name of the site.", "Reprints are allowed on request.", "Nothing here is legal advice.", "This page is no legal advice and Example Monitor accepts no liability for it.", "No liability is accepted for the content of linked pages.", "The binding text is the printed one.", "This page is provided for information; the binding text is kept by the office.", "The official text is the one published in the gazette.",
+    "Follow our updates", "Follow us and pass it on", "Join 20 readers of our weekly letter", "Join the shops who read our letter every week", "Continue reading ...", "Continue reading", "Read the full text", "Full text ...", "Open article", "Read more", "Our course on web design starts soon - book a seat", "A free course for schools starts soon - reserve a seat now", "Cite this text as: Example notices, no. 4", "Written for the Example Post by the sports desk", "Written for Example Data Watch by the news team", "Written by our reporters for the Example Ledger", "By the sports desk for the Example Post", "Figures in this notice are provisional until the inspectorate has confirmed them.", "These figures are provisional until the licensing desk has confirmed them.", "Numbers on this page are provisional until the commission has confirmed them.", "Filed under: letters, maps", "Tags: letters, maps, yearly plan", "* How shops should test the late plan", "> Decision 4 on letters and the late plan", "Our partners use cookies. Manage choices | Decide later",
+)
+SENTENCES = (
+    "Several clinics said the register was reviewed because the earlier version named the wrong owner.", "No plan may be published unless the audit crew has tested the register first.", "Staff at the support line promptly test the register and note the reason in the data map.", "It remains open whether banks in Harbourtown need a late register for letters.", "Banks that handle letters must test their register and keep the late version for nine months.", "The audit crew will test the register again until further notice, whatever the authority decides.", "Banks and clinics disagree about the register, so the authority will test it next year.",
+    "After the register was tested, complaints about letters fell from 90 to 4.", "For letters, the late threshold stays at 0.5 and the register is tested next year.", "When a request about letters arrives, the audit crew opens a register and assigns case 12.", "Members of the audit crew met in Harbourtown to test the late register on letters.", "The register and the data map were tested together since the sample was too small.", "The authority asked clinics to test the late register before the next review.", "Only 4 of the banks had a late register that the audit crew could test.", "The audit crew rarely checks the register for letters, and 12 of 90 samples were tested.", "In March, the authority found 12 gaps in the register of one group of banks.",
+    "The annex treats letters as sensitive whenever a register is tested.", "The mapping lists 12 controls for letters, of which 4 were tested.", "A decision of the authority on letters will be tested in March since no register had been agreed.", "A late register was tested because staff could not find the old rules.", "Effects of the late register on letters", "Findings of the late register", "Next steps of the yearly plan on letters", "Background of the register on letters", "Dates of the late plan", "The team found placeholder text in 5 notices and had each form tested.", "Figures for March were confirmed by the audit crew.", "The court held that the translation prevails over the edition of the office.", "Comments of residents were answered within nine days.", "Two of the 12 findings concern the register; the rest relate to letters.", "pump | 45 | broken | Harbourtown", "valve | 3 | spare | Port Example", "yearly plan | 12 | late | Harbourtown", "consent form | 9 | cross-border | Port Example",
+)
+
+
+def _page(k: int, parts: tuple) -> list[tuple[str, bool]]:
+    """The ``k``-th example page of four lists (above, among, below, article)."""
+    above, among, below, article = parts
+    take = lambda items, n, step: [items[(k * step + j) % len(items)] for j in range(n)]
+    page = [(t, True) for t in take(above, k % 4, 3)]
+    for j, t in enumerate(take(article, 1 + k % 6, 1)):
+        page.append((t, False))
+        if j % 3 == 1:
+            page += [(t, True) for t in take(among, 1 + (k + j) % 2, j + 1)]
+    page += [(t, True) for t in take(below, (k + 1) % 5, 4)]
+    # upper case and wide spaces, as pages write them
+    return [(t.upper() if (k + i) % 11 == 3 else t.lower() if (k + i) % 11 == 7 else f"  {t} " if k % 5 == 2 else t, a) for i, (t, a) in enumerate(page)]
+
+
 def pages() -> list[list[tuple[str, bool]]]:
     """Example pages put together from the lists: (block, stands around the article)."""
-    out = []
-    for k in range(len(ARTICLE)):
-        take = lambda items, n, step: [items[(k * step + j) % len(items)] for j in range(n)]  # noqa: E731, B023
-        page = [(t, True) for t in take(ABOVE, k % 4, 3)]
-        for j, t in enumerate(take(ARTICLE, 1 + k % 6, 1)):
-            page.append((t, False))
-            if j % 3 == 1:
-                page += [(t, True) for t in take(AMONG, 1, j + 1)]
-        page += [(t, True) for t in take(BELOW, (k + 1) % 5, 4)]
-        # upper case and trailing site names, as pages write them
-        out.append([(t.upper() if k % 7 == 3 else f"  {t} " if k % 5 == 2 else t, a) for t, a in page])
-    return out
+    more = (MORE_ABOVE, MORE_AMONG, MORE_BELOW, MORE_ARTICLE)
+    own = (ABOVE, (*AMONG, *NOTICES[20:]), (*BELOW, *NOTICES), (*ARTICLE, *SENTENCES))
+    return [_page(k, own) for k in range(2 * len(own[3]))] + [_page(k, more) for k in range(2 * len(MORE_ARTICLE))]

@@ -1,16 +1,19 @@
 """Main body of web pages against what stands around it (problem 6).
 
 A page is a flat sequence of text blocks, here its non-blank lines.  Each block
-is described by its words and its link density, those of its neighbours and a
-few marks of form; a decision tree fitted on a small labelled table decides.
-The pages hold no markup any more, so link density is measured on the text: the
-share of a block's words that stand in short separated pieces, and the share of
-words that sites use as link captions.
+is described by its number of words and its link density, by those of its two
+neighbours on each side, and by a few marks of form; a decision tree fitted on a
+small labelled table decides.  The pages hold no markup any more, so link density
+is estimated from the words: the labelled blocks give every word and pair of
+words a weight for captions, prompts and notices (a ridge regression), and the
+density of a block is their sum.  Those of the labelled blocks themselves are
+what the other blocks give them.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,13 +26,11 @@ from veridrome.llm.tree import Tree, fit
 
 SPACES = re.compile(r"\s+")
 PIECES = re.compile(r"\s*(?:\||·|»|«|›|→|←|↓|<<|>>|\s/\s|\s>\s|\s-\s)\s*|\s{2,}")
-WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
+MARKS = re.compile(r"\s*[|·»«›→←↓]\s*")
+WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|\d+")
 BULLET = re.compile(r"^(?:[•*·>–-]|\(?[a-z0-9]{1,2}[.)])\s+")
 LINK_BULLET = re.compile(r"^[>*»→]\s+")
-CUE = re.compile("|".join(rf"(?:{c})" for c in labelled_pages.CUES))
-INNER = re.compile("|".join(rf"(?:{c})" for c in labelled_pages.INNER))
-CAPTIONS = frozenset(labelled_pages.CAPTIONS)
-FURNITURE = frozenset(labelled_pages.FURNITURE)
+DEPTH, LEAST, RIDGE = 5, 20, 0.3
 
 
 def plain(line: str) -> str:
@@ -37,59 +38,114 @@ def plain(line: str) -> str:
     return SPACES.sub(" ", line.lower()).strip()
 
 
-@lru_cache(maxsize=50_000)
-def _own(line: str) -> tuple[float, ...]:
-    """Words, link density and marks of form of one block."""
-    p = plain(line)
-    words = WORD.findall(p)
+def _words(line: str) -> list[str]:
+    """Words of a block in plain form; all numbers are one."""
+    return ["0" if w[0].isdigit() else w for w in WORD.findall(plain(line))]
+
+
+def _units(words: list[str]) -> list[str]:
+    """Words, the first one once more as such, and pairs of neighbours."""
+    return [*words, *(f"{a} {b}" for a, b in zip(["⟨", *words], [*words, "⟩"]))]
+
+
+class Captions:
+    """Weights of units, fitted on labelled blocks by ridge regression: how much they speak for captions, prompts and notices.
+
+    ``alone`` has the density of each labelled block as the others give it.
+    """
+
+    def __init__(self, blocks: list[tuple[str, bool]], shrink: float = RIDGE):
+        labels: dict[tuple[str, ...], list[bool]] = {}
+        for t, a in blocks:
+            labels.setdefault(tuple(_words(t)), []).append(a)
+        sets = [set(_units(list(k))) for k in labels]
+        names = sorted(set().union(*sets))
+        place = {u: i for i, u in enumerate(names)}
+        x = np.zeros((len(sets), len(names)))
+        for row, us in zip(x, sets):
+            row[[place[u] for u in us]] = 1 / max(1, len(us)) ** 0.5
+        y = np.array([2 * np.mean(v) - 1 for v in labels.values()])
+        self.base = 0.0  # a block of unknown words is neither
+        inverse = np.linalg.inv(x @ x.T + shrink * np.eye(len(y)))
+        dual = inverse @ (y - self.base)
+        self.weight = dict(zip(names, (x.T @ dual).tolist()))
+        self.alone = dict(zip(labels, (y - dual / np.diag(inverse)).tolist()))
+
+    def density(self, words: list[str]) -> float:
+        """Link density of a block, about -1 to 1; unknown units count 0."""
+        us = set(_units(words))
+        return self.base + sum(self.weight.get(u, 0.0) for u in us) / max(1, len(us)) ** 0.5
+
+
+def _own(line: str, captions: Captions, alone: bool = False) -> tuple[float, ...]:
+    """Words, link density (``alone``: as the other labelled blocks give it) and marks of form of one block."""
+    words = _words(line)
     n = len(words)
-    pieces = [s for s in PIECES.split(line.strip()) if s]
+    stripped = line.strip()
+    pieces = [s for s in PIECES.split(stripped) if s]
     short = sum(k for k in (len(WORD.findall(s)) for s in pieces) if k <= 3) if len(pieces) > 1 else 0
-    bare = BULLET.sub("", p)
+    letters = [w for w in stripped.split() if w[0].isalpha()]
     return (
         n,
+        captions.alone[tuple(words)] if alone else captions.density(words),
         short / max(1, n),
         len(pieces),
-        sum(w in CAPTIONS for w in words) / max(1, n),
-        sum(w in FURNITURE for w in words) / max(1, n),
-        float(bool(CUE.match(bare))),
-        float(bool(INNER.search(p))),
-        float(p.endswith((".", "!", "?"))),
-        float(bool(BULLET.match(p))),
-        float(bool(LINK_BULLET.match(p))),
-        float(any(s.strip().isdigit() for s in pieces)),
-        p.count(":"),
+        sum(w[0].isupper() for w in letters) / max(1, len(letters)),
+        float(stripped.endswith((".", "!", "?"))),
+        float(bool(BULLET.match(stripped.lower()))),
+        float(bool(LINK_BULLET.match(stripped))),
+        float(any(s.strip().isdigit() for s in MARKS.split(stripped)[1:])),
+        stripped.count(":"),
     )
 
 
-def features(lines: list[str]) -> np.ndarray:
-    """Features of a page's blocks: own, then words and link density of the neighbours, then the place."""
-    own = np.array([_own(t) for t in lines], float).reshape(len(lines), -1)
-    edge = np.zeros((1, 4))
-    near = own[:, [0, 1, 3, 5]]
-    before, after = np.vstack([edge, near[:-1]]), np.vstack([near[1:], edge])
-    i = np.arange(len(lines), dtype=float)[:, None]
-    return np.hstack([own, before, after, np.minimum(i, 8), np.minimum(i[::-1], 8)])
+def _with_neighbours(own: np.ndarray) -> np.ndarray:
+    """Own features; words and link density of one neighbour before and behind; their means over two on each side and the block itself; the place."""
+    near = own[:, [0, 1]]
+    edge = np.zeros((2, near.shape[1]))
+    wide = np.vstack([edge, near, edge])
+    n = len(own)
+    i = np.arange(n, dtype=float)[:, None]
+    known = np.minimum(i, 2) + np.minimum(i[::-1], 2)
+    sides = [wide[k : k + n] for k in range(5)]
+    mean = sum(sides) / (known + 1)
+    return np.hstack([own, sides[1], sides[3], mean, (mean + near) / 2, np.minimum(i, 8), np.minimum(i[::-1], 8)])
+
+
+class PageModel:
+    """The tree with the weights that its link densities come from."""
+
+    def __init__(self, tree: Tree, captions: Captions):
+        self.tree, self.captions = tree, captions
+
+    def around(self, lines: list[str]) -> np.ndarray:
+        """Which blocks of a page stand around the article."""
+        own = np.array([_own(t, self.captions) for t in lines], float)
+        return self.tree.predict(_with_neighbours(own)) > 0.5
+
+
+def fit_pages(pages: list[list[tuple[str, bool]]]) -> PageModel:
+    """Fit a tree on labelled pages; the densities of a block come from the other blocks."""
+    captions = Captions([b for p in pages for b in p])
+    xs = [_with_neighbours(np.array([_own(t, captions, True) for t, _ in p], float)) for p in pages]
+    tree = fit(np.vstack(xs), np.array([float(a) for p in pages for _, a in p]), depth=DEPTH, least=LEAST)
+    return PageModel(tree, captions)
 
 
 @lru_cache(maxsize=1)
-def page_tree() -> Tree:
-    """The tree of the labelled table (fitted once a process, in well under a second)."""
-    xs, ys = [], []
-    for page in labelled_pages.pages():
-        xs.append(features([t for t, _ in page]))
-        ys += [float(around) for _, around in page]
-    return fit(np.vstack(xs), np.array(ys))
+def page_model() -> PageModel:
+    """The model of the labelled table, fitted once on the driver and sent with the work."""
+    return fit_pages(labelled_pages.pages())
 
 
-def around(lines: list[str], title: str | None, tree: Tree) -> np.ndarray:
+def around(lines: list[str], title: str | None, model: PageModel) -> np.ndarray:
     """For each non-blank line, whether it stands around the article.
 
     A line that repeats the page's title belongs to the article.
     """
     if not lines:
         return np.zeros(0, bool)
-    out = tree.predict(features(lines)) > 0.5
+    out = model.around(lines)
     if isinstance(title, str) and title.strip():
         t = plain(title)
         out &= np.array([plain(x) != t for x in lines])
@@ -104,7 +160,7 @@ def split_lines(text) -> tuple[list[int], list[str]]:
     return [i for i, _ in kept], [t for _, t in kept]
 
 
-def _marker(tree: Tree, skip):
+def _marker(model: PageModel, skip):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             rows = []
@@ -113,13 +169,13 @@ def _marker(tree: Tree, skip):
                     continue
                 for name, text in zip(("content", "summary"), fields):
                     numbers, lines = split_lines(text)
-                    rows += [(i, name, n) for n, b in zip(numbers, around(lines, title, tree)) if b]
+                    rows += [(i, name, n) for n, b in zip(numbers, around(lines, title, model)) if b]
             yield pd.DataFrame(rows, columns=["id", "field", "line_no"])
 
     return run
 
 
-def lines_around(pages: DataFrame, tree: Tree | None = None, skip=None) -> DataFrame:
+def lines_around(pages: DataFrame, model: PageModel | None = None, skip=None) -> DataFrame:
     """Lines of (id, title, content, summary) that are no part of the article: (id, field, line_no).
 
     One pass over the pages; only the lines found are shuffled, to unify those
@@ -127,12 +183,12 @@ def lines_around(pages: DataFrame, tree: Tree | None = None, skip=None) -> DataF
     predicate of title and content; records for which it holds give no row.
     """
     slim = pages.select("id", "title", "content", "summary")
-    return slim.mapInPandas(_marker(tree or page_tree(), skip), "id string, field string, line_no int").distinct()
+    return slim.mapInPandas(_marker(model or page_model(), skip), "id string, field string, line_no int").distinct()
 
 
-def main_body(pages: DataFrame, tree: Tree | None = None) -> DataFrame:
+def main_body(pages: DataFrame, model: PageModel | None = None) -> DataFrame:
     """Pages reduced to their article: (id, content, summary); blank lines inside it stay."""
-    tree = tree or page_tree()
+    model = model or page_model()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -144,7 +200,7 @@ def main_body(pages: DataFrame, tree: Tree | None = None) -> DataFrame:
                         kept.append(None)
                         continue
                     numbers, lines = split_lines(text)
-                    gone = {n for n, b in zip(numbers, around(lines, title, tree)) if b}
+                    gone = {n for n, b in zip(numbers, around(lines, title, model)) if b}
                     kept.append("\n".join(t for n, t in enumerate(text.split("\n"), 1) if n not in gone).strip("\n"))
                 out[name] = kept
             yield pd.DataFrame(out)

@@ -20,7 +20,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veridrome.llm import pages
-from veridrome.llm.tree import Tree
 
 #: Labelled exemplars (kind, text).
 EXEMPLARS = (
@@ -32,13 +31,20 @@ EXEMPLARS = (
     ("script", "javascript is required to view this page viewer"), ("script", "javascript is disabled in your browser"), ("script", "this application needs javascript to run viewer"), ("script", "please turn on scripts in your browser viewer"), ("script", "please enable javascript to continue"), ("script", "you need to enable scripts to read this notice viewer"), ("script", "your browser does not support scripting content hidden viewer"), ("script", "scripts are switched off switch them on and reload viewer"),
     ("filler", "placeholder copy for layout only do not publish goes here to be replaced"), ("filler", "placeholder text for layout only do not publish goes here to be replaced"), ("filler", "example content for layout only do not publish goes here to be replaced"), ("filler", "dummy body text for layout only do not publish goes here to be replaced"), ("filler", "sample paragraph for layout only do not publish goes here to be replaced"), ("filler", "content coming soon"), ("filler", "coming soon"), ("filler", "under construction"),
     ("filler", "todo write this section"), ("filler", "tbd"), ("filler", "tbc"), ("filler", "to be completed"), ("filler", "to be announced"), ("filler", "n/a awaiting copy"), ("filler", "test"), ("filler", "asdf"), ("filler", "qwerty"), ("filler", "blah"), ("filler", "text"), ("filler", "xxx"), ("filler", "foo bar baz"), ("filler", "dummy"), ("filler", "untitled"), ("filler", "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum"),
+    # the same in other words and languages
+    ("error", "we couldn't find what you were looking for"), ("error", "we could not find the page that you requested it may have been moved or deleted"), ("error", "this page does not exist or has been removed"), ("error", "gateway error upstream unavailable"), ("error", "bad gateway upstream server did not respond"), ("error", "the service is temporarily unavailable please try again later"), ("error", "an unexpected error occurred please try again later"), ("error", "connection timed out"),
+    ("error", "fehler 404 seite nicht gefunden"), ("error", "die angeforderte seite wurde nicht gefunden oder existiert nicht mehr"), ("error", "zugriff verweigert bitte melden sie sich an"), ("error", "interner serverfehler bitte versuchen sie es später erneut"), ("error", "ihre sitzung ist abgelaufen bitte melden sie sich erneut an"), ("error", "wartungsarbeiten die seite ist vorübergehend nicht verfügbar"),
+    ("error", "erreur 404 page introuvable"), ("error", "la page demandée est introuvable ou n'existe plus"), ("error", "accès refusé veuillez vous connecter"), ("error", "erreur interne du serveur veuillez réessayer plus tard"), ("error", "votre session a expiré veuillez vous reconnecter"), ("error", "site en maintenance"),
+    ("error", "error 404 página no encontrada"), ("error", "la página solicitada no existe o ha sido eliminada"), ("error", "acceso denegado inicie sesión"), ("error", "error interno del servidor inténtelo de nuevo más tarde"), ("error", "su sesión ha caducado vuelva a iniciar sesión"), ("error", "sitio en mantenimiento"),
+    ("script", "javascript muss aktiviert sein um diese seite anzuzeigen"), ("script", "bitte aktivieren sie javascript in ihrem browser"), ("script", "veuillez activer javascript dans votre navigateur pour afficher cette page"), ("script", "active javascript en su navegador para ver esta página"), ("script", "this site requires javascript to work correctly"),
+    ("filler", "insert headline here"), ("filler", "insert text here"), ("filler", "your text goes here"), ("filler", "type your title here"), ("filler", "click to edit this text"), ("filler", "hier text einfügen"), ("filler", "platzhaltertext"), ("filler", "hier entsteht eine neue seite"), ("filler", "insérer le texte ici"), ("filler", "texte à venir"), ("filler", "insertar texto aquí"), ("filler", "próximamente"), ("filler", "texto de ejemplo"),
     ("filler", "⟦latin⟧"), ("slot", "⟦slot⟧"),
 )
 _NAME = r"[A-Za-z][\w.]*(?: [\w.]+){0,3}"
 #: Forms of unfilled slots.
 SLOT = re.compile(
     rf"\{{\{{\s*{_NAME}\s*(?:\|[^{{}}\n]*)?\}}\}}|\{{%[^%\n]*%\}}|\$\{{\s*{_NAME}\s*\}}|\#\{{\s*{_NAME}\s*\}}|(?<![\w{{$#])\{{{_NAME}\}}|<%=?\s*{_NAME}\s*%>|<<\s*{_NAME}\s*>>|%%\s*{_NAME}\s*%%"
-    rf"|(?<!\w)__[A-Za-z]\w*?__(?!\w)|\[\[\s*{_NAME}\s*\]\]|\[(?:insert|your|enter|add|type)\s+{_NAME}\]",
+    rf"|(?<![\w{{$#])\{{\d\}}|@@\s*{_NAME}\s*@@|(?<!\w)__[A-Za-z]\w*?__(?!\w)|\[\[\s*{_NAME}\s*\]\]|\[(?:insert|your|enter|add|type)\s+{_NAME}\]",
     re.I,
 )
 #: Syllables of which filler in mock Latin is made.
@@ -46,7 +52,7 @@ LATIN = re.compile(r"(?:lor|em|ip|sum|dol|or|sit|amet|con|sect|etur|tur|adi|pisc
 #: A note behind a window: one in brackets, or a few words behind a dash.
 NOTE = re.compile(r"(?:\s*\([^()\n]{1,30}\)|\s+-\s+[^\W_]+(?: [^\W_]+)?)\s*$")
 WORD = re.compile("⟦slot⟧|⟦latin⟧|n/a|[^\\W_]+(?:['’][^\\W_]+)*")
-OPENS = re.compile(r"[{\[<%]|\$\{|__")
+OPENS = re.compile(r"[{\[<%@]|\$\{|__")
 REFERENCE = re.compile(r"^(?=.*\d)[0-9a-f]+$|^render.*$")
 #: A window is residue from this share of its weight, a record from this share of its windows' words.
 COVERED, RECORD = 0.68, 0.9
@@ -128,7 +134,7 @@ def word_weights(records: DataFrame, columns: tuple[str, ...] = ("content", "tit
     return df, df.pop("", 0)
 
 
-def content_is_residue(index: Index, tree: Tree, title, content) -> bool:
+def content_is_residue(index: Index, model: pages.PageModel, title, content) -> bool:
     """Whether a content holds a slot or, without the lines around the article, only residue."""
     if not isinstance(content, str) or not content.strip():
         return False
@@ -136,7 +142,7 @@ def content_is_residue(index: Index, tree: Tree, title, content) -> bool:
         return True
     _, lines = pages.split_lines(content)
     t = pages.plain(title) if isinstance(title, str) else None
-    outside = pages.around(lines, None, tree)
+    outside = pages.around(lines, None, model)
     body = [x for x, b in zip(lines, outside) if not b and pages.plain(x) != t]
     if body:
         return index.residue(body)
@@ -151,7 +157,7 @@ def find(records: DataFrame, index: Index | None = None) -> DataFrame:
     article first; a line that repeats the title says nothing of the content.
     """
     index = index or Index(*word_weights(records))
-    tree = pages.page_tree()
+    model = pages.page_model()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -159,7 +165,7 @@ def find(records: DataFrame, index: Index | None = None) -> DataFrame:
             for i, title, content in zip(pdf["id"], pdf["title"], pdf["content"]):
                 if isinstance(title, str) and title.strip() and (_slot(index, title) or index.residue([title])):
                     rows.append((i, "title"))
-                if content_is_residue(index, tree, title, content):
+                if content_is_residue(index, model, title, content):
                     rows.append((i, "content"))
             yield pd.DataFrame(rows, columns=["id", "field"])
 
@@ -171,6 +177,6 @@ def _slot(index: Index, text: str) -> bool:
     return bool(OPENS.search(text)) and any(index.coverage(m[0]) >= COVERED for m in SLOT.finditer(text))
 
 
-def skipper(index: Index, tree: Tree):
+def skipper(index: Index, model: pages.PageModel):
     """A predicate for :func:`pages.lines_around`: the content is residue."""
-    return lambda title, content: content_is_residue(index, tree, title, content)
+    return lambda title, content: content_is_residue(index, model, title, content)
