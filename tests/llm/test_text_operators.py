@@ -35,6 +35,12 @@ CASES = [
     ("​Sib‍andrel, Björn wrote", [("name", "Sib‍andrel, Björn")]),
     ("４１５-５５５-０１６８", [("phone", "４１５-５５５-０１６８")]),
     ("", []),
+    # names and forms that no list holds
+    ("Olumide Adeyemi wrote again", [("name", "Olumide Adeyemi")]), ("The letter names Siobhan Kowalczyk as witness", [("name", "Siobhan Kowalczyk")]), ("Zoltan Farkas confirmed it", [("name", "Zoltan Farkas")]), ("Contact Wanjiru Kamau on Monday", [("name", "Wanjiru Kamau")]),
+    ("The Bright Quay Registry confirmed it. Northgate Data Council said so", []), ("In Port Ilven, Data Privacy asked for more", []),
+    ("Bjo\u0308rn Torashiro", [("name", "Bjo\u0308rn Torashiro")]), ("anna punkt berg at mail punkt example", [("email", "anna punkt berg at mail punkt example")]), ("eva arroba correo punto example", [("email", "eva arroba correo punto example")]), ("we meet at some point in May", []),
+    ("null drei null zwei drei eins zwei fünf null sieben eins", [("phone", "null drei null zwei drei eins zwei fünf null sieben eins")]), ("four one five double five five zero one oh four", [("phone", "four one five double five five zero one oh four")]),
+    ("DNI 12345678Z, tax id 12-3456789, passport 123456789", [("id_number", "12345678Z"), ("id_number", "12-3456789"), ("id_number", "123456789")]), ("build 12345678Z and 12-3456789", []),
 ]
 
 

@@ -25,13 +25,17 @@ KINDS = ("email", "phone", "id_number", "address", "name")
 #: Letters of other scripts that look Latin.
 LOOKS = str.maketrans("аеорсухіјѕԁһАВЕКМНОРСТУХІЈЅοΟΑΒΕΖΗΙΚΜΝΡΤΥΧ", "aeopcyxijsdhABEKMHOPCTYXIJSoOABEZHIKMNPTYX")
 ODD = re.compile(r"[^\x00-\x7fÀ-ÖØ-öø-ſ]")
-_NUM = "|".join(W.DIGITS)
-SPELLED = re.compile(rf"\b(?:{_NUM})(?:[\s,-]+(?:{_NUM})){{6,}}\b", re.I)
-_AT = r"(?:\s*[(\[{<]\s*at\s*[)\]}>]\s*|\s+at\s+|\s*@\s*)"
-_DOT = r"(?:\s*[(\[{<]\s*dot\s*[)\]}>]\s*|\s+dot\s+|\.)"
+_NUM = "|".join(sorted(W.DIGITS, key=len, reverse=True))
+_TIMES = {"double": 2, "triple": 3}
+_DIGIT = rf"(?:(?:double|triple)[\s-]+)?(?:{_NUM})"
+SPELLED = re.compile(rf"\b{_DIGIT}(?:[\s,-]+{_DIGIT}){{5,}}\b", re.I)
+ONE_DIGIT = re.compile(rf"\b(?:(double|triple)[\s-]+)?({_NUM})\b", re.I)
+_ATS, _DOTS = "|".join(W.AT_DOT), "|".join(dict.fromkeys(d for ds in W.AT_DOT.values() for d in ds))
+_AT = rf"(?:\s*[(\[{{<]\s*(?:{_ATS})\s*[)\]}}>]\s*|\s+(?:{_ATS})\s+|\s*@\s*)"
+_DOT = rf"(?:\s*[(\[{{<]\s*(?:{_DOTS})\s*[)\]}}>]\s*|\s+(?:{_DOTS})\s+|\.)"
 DISGUISED = re.compile(rf"(?<![\w.+-])([\w+-]+(?:{_DOT}[\w+-]+){{0,6}}?)({_AT})([\w-]+(?:{_DOT}[\w-]+){{1,8}})", re.I)
-DOTS, HINT = re.compile(_DOT, re.I), re.compile(r"@|dot|[(\[{<]\s*at", re.I)
-SPELLED_DOT = re.compile(r"dot", re.I)
+DOTS, HINT = re.compile(_DOT, re.I), re.compile(rf"@|dot|punkt|arroba|arobase|[(\[{{<]\s*(?:{_ATS})", re.I)
+SPELLED_DOT, SPOKEN = re.compile(_DOTS, re.I), re.compile(rf"\b(?:{_DOTS})\b", re.I)
 
 
 class Plain:
@@ -46,17 +50,23 @@ class Plain:
             self._rewrite(DISGUISED, self._address)
 
     def _letters(self, source: str) -> None:
-        out, starts = [], []
+        out, starts, ends = [], [], []
         for i, c in enumerate(source):
             if unicodedata.category(c) == "Cf":
                 continue
+            if out and unicodedata.combining(c):  # a letter and its mark are one character
+                one = unicodedata.normalize("NFC", out[-1] + c)
+                if len(one) == 1:
+                    out[-1], ends[-1] = one, i + 1
+                    continue
             if ord(c) > 127:
                 c = c.translate(LOOKS)
                 n = unicodedata.normalize("NFKC", c)
                 c = n if len(n) == 1 else c
             out.append(c)
             starts.append(i)
-        self.text, self.starts, self.ends = "".join(out), starts, [i + 1 for i in starts]
+            ends.append(i + 1)
+        self.text, self.starts, self.ends = "".join(out), starts, ends
 
     def _rewrite(self, pattern: re.Pattern, edit) -> None:
         hits = [(m.start(), m.end(), new) for m in pattern.finditer(self.text) if (new := edit(m)) is not None]
@@ -81,7 +91,11 @@ class Plain:
 
     @staticmethod
     def _digits(m: re.Match):
-        return [(W.DIGITS[w[0].lower()], w.start() + m.start(), w.end() + m.start()) for w in re.finditer(_NUM, m[0], re.I)]
+        # doubled digits stand for several characters with one place
+        at, out = m.start(), []
+        for w in ONE_DIGIT.finditer(m[0]):
+            out += [(W.DIGITS[w[2].lower()], w.start() + at, w.end() + at)] * _TIMES.get((w[1] or "").lower(), 1)
+        return out if len(out) >= 7 else None
 
     @staticmethod
     def _address(m: re.Match):
@@ -91,7 +105,8 @@ class Plain:
             return None  # nothing to undo
         if not plain_at and "(" not in at and "[" not in at and "{" not in at and "<" not in at:
             # a bare word "at" stands between an address's parts only if the dots are spelled too
-            if not re.search(r"\bdot\b", host, re.I) and not re.search(r"[\d._+-]", m[1]):
+            said = {d.lower() for d in SPOKEN.findall(host)}
+            if not said <= set(W.AT_DOT.get(at.strip().lower(), ())) or not said and (at.strip().lower() != "at" or not re.search(r"[\d._+-]", m[1])):
                 return None
         out, i = [], m.start()
         marks = [(m.start(2), m.end(2), "@")]
@@ -123,15 +138,16 @@ EMAIL = re.compile(r"(?<![\w.+@-])[\w][\w.+'-]*@[\w-]+(?:\.[\w-]+)*\.[a-z]{2,}(?
 _EXT = r"(?:\s*,?\s*(?:ext\.?|extension|x|durchwahl|poste)\s*\d{1,6})?"
 PHONE = re.compile(
     rf"(?<![\w.+/-])(?:(?:\+|00)\d{{1,3}}[\s.-]?(?:\(0\)\s?)?(?:\(\d{{1,5}}\)[\s.-]?)?\d{{1,10}}(?:[\s.-]\d{{2,10}}){{0,5}}"
-    rf"|\(\d{{3}}\)\s?\d{{3}}[\s.-]?\d{{4}}|[2-9]\d{{2}}([\s.-])\d{{3}}\1\d{{4}}|[2-9]\d{{2}}[2-9]\d{{6}}|(?:\(0\d{{2,4}}\)|0\d{{2,4}})[\s-]\d{{3,4}}[\s-]?\d{{3,5}}){_EXT}(?![\w-]|\.\d|/\d)",
+    rf"|\(\d{{3}}\)\s?\d{{3}}[\s.-]?\d{{4}}|[2-9]\d{{2}}([\s.-])\d{{3}}\1\d{{4}}|[2-9]\d{{2}}[2-9]\d{{6}}|0[1-9]\d{{8,9}}|(?:\(0\d{{2,4}}\)|0\d{{2,4}})[\s-]\d{{3,4}}[\s-]?\d{{3,5}}){_EXT}(?![\w-]|\.\d|/\d)",
     re.I,
 )
 IDENTITY = re.compile(
-    r"(?<![\w./-])(?:\d{3}([-\s.])\d{2}\1\d{4}|\d{9}|[A-Z]{2}\s?\d{7}|[A-Z]{2}(\s?)\d{3}\2\d{3}\2[A-Z]|[A-Z]\d{4}-\d{4}-\d{2}|\d{2}/\d{3}/\d{5})(?![\w/-]|\.\d)",
+    r"(?<![\w./-])(?:\d{3}([-\s.])\d{2}\1\d{4}|\d{9}|[A-Z]{2}\s?\d{7}|[A-Z]{2}(\s?)\d{3}\2\d{3}\2[A-Z]|[A-Z]\d{4}-\d{4}-\d{2}|\d{2}/\d{3}/\d{5}|\d{8}-?[A-Z]|\d{2}-\d{7})(?![\w/-]|\.\d)",
     re.I,
 )
+PLAIN_NUMBER = re.compile(r"\d{9}|\d{8}-?[A-Z]|\d{2}-\d{7}", re.I)
 THINGS = re.compile(rf"\b{W.THINGS}(?:\s+(?:no\.?|number|nr\.?|id))?[\s:#]*(?:[\d.:/-]+\s+(?:and|to|through)\s+)?$", re.I)
-SOCIAL = re.compile(W.SOCIAL, re.I)
+LABELS = re.compile(rf"\b{W.LABELS}", re.I)
 #: Forms of addresses, each with a hint without which it is not tried.
 ADDRESSES = [
     (re.compile(hint, re.I), re.compile(form, re.I))
@@ -151,6 +167,8 @@ def _fold(w: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", w.lower()) if not unicodedata.combining(c)).replace("ø", "o").replace("ł", "l")
 
 
+#: Words that introduce a person by themselves.
+NAMING = frozenset("contact names named phone called colleague neighbour frau herr kollege kollegin".split())
 GIVEN = frozenset(W.GIVEN)
 STOP = frozenset(W.NO_SURNAME)
 TOKEN = re.compile(rf"{_L}+(?:[-'’]{_L}+)*\.?")
@@ -159,6 +177,11 @@ TITLE_WORDS = frozenset(W.TITLES)
 _TITLES = "|".join(W.TITLES)
 TITLED = re.compile(rf"\b((?:(?:{_TITLES})\b\.?\s+){{1,3}})((?:{_INIT}\s*)*(?:{_WORD}\s+)?{_SUR})", re.I)
 CUED = re.compile(rf"(?:\b(?:{'|'.join(W.CUES)}))\s*", re.I)
+#: Two or three words written like a name, outside longer rows of such words.
+_CAP = r"(?:[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+(?:[-'’][A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+)*)"
+CAPITALS = re.compile(rf"(?<![\w.'’-])({_CAP}(?: (?:{_CAP}|[A-Z]\.)){{1,2}})(?![\w'’-])")
+LAST_WORD, NEXT_WORD = re.compile(rf"({_L}+)[,:]?\s+$"), re.compile(rf"\s+({_L}+)")
+BEFORE_PERSON, BEHIND_PERSON, NO_PERSON = frozenset(W.BEFORE_PERSON), frozenset(W.BEHIND_PERSON), frozenset(W.NO_PERSON)
 INITIALS = re.compile(rf"(?<![\w.])((?:{_INIT}\s?){{1,2}})({_SUR})(?!\w)")
 
 
@@ -220,6 +243,17 @@ def _names(text: str, taken: bytearray) -> list[tuple[int, int]]:
         n = re.match(rf"(?:[^\W\d_a-zà-ÿ]{_L}+|{_L}\.)(?:\s+(?:[^\W\d_a-zà-ÿ]{_L}+(?:-{_L}+)?|{_L}\.)){{1,2}}", text[m.end() :])
         if n and not any(_fold(w.rstrip(".")) in STOP for w in n[0].split()) and not n[0].endswith("."):
             add(m.end(), m.end() + n.end())
+    for m in CAPITALS.finditer(text):  # names that no list has, by their form and the words around them
+        a, parts = m.start(), m[1].split()
+        before = LAST_WORD.search(text[max(0, a - 24) : a])
+        if parts[0].lower() in BEFORE_PERSON and len(parts) > 2:  # "Contact" at the start of a sentence
+            before, a, parts = re.match(r".*", parts[0]), a + len(parts[0]) + 1, parts[1:]
+        if any(_fold(w) in STOP or _fold(w) in NO_PERSON for w in parts):
+            continue
+        behind = NEXT_WORD.match(text, m.end())
+        left, right = (before[before.lastindex or 0].lower() if before else ""), (behind[1].lower() if behind else "")
+        if right in BEHIND_PERSON and (not left or left in BEFORE_PERSON or text[:a].rstrip()[-1:] in ("", ".", "!", "?", "\n")) or left in NAMING and right not in NO_PERSON:
+            add(a, m.end())
     # parts of a name found above, where they stand alone
     whole = [text[a:b] for a, b in found if len(text[a:b].split()) > 1]
     surnames = {s for n in whole if _fold(s := n.partition(",")[0].split()[-1]) not in GIVEN}
@@ -264,8 +298,8 @@ def detect(source) -> list[tuple[str, int, int]]:
         before = text[max(0, m.start() - 40) : m.start()]
         if THINGS.search(before):
             continue
-        # nine digits alone say nothing without a label close by
-        if m[0].isdigit() and not SOCIAL.search(text[max(0, m.start() - 40) : m.end() + 50]):
+        # nine digits say nothing without a label close by, with or without a hyphen, and neither do eight with a letter
+        if PLAIN_NUMBER.fullmatch(m[0]) and not LABELS.search(text[max(0, m.start() - 40) : m.end() + 50]):
             continue
         add("id_number", m.start(), m.end())
     for m in PHONE.finditer(text):

@@ -21,6 +21,29 @@ NO_SURNAME = (
 STREET = "street st road rd avenue ave lane ln drive dr close court ct terrace way place pl square sq crescent boulevard blvd row walk gardens grove hill mews parade quay".split()
 #: Before a number: what makes it something else than personal data.
 THINGS = r"(?:invoice|order|ticket|case|cases|lots?|step|batch|window|build|version|score|room code|code|ref(?:erence)?|article|section|paragraph|no\. of|rechnung|auftrag|facture|commande|factura|pedido|standard|form|host|port|sku|item|serial|batch)"
-#: Labels of social security numbers, for numbers written without separators.
-SOCIAL = r"(?:ssn|social security|sozialversicherung|s[ée]curit[ée] sociale|seguridad social)"
-DIGITS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
+#: Labels near numbers that have no form of their own.
+LABELS = r"(?:ssn|social security|sozialversicherung|s[ée]curit[ée] sociale|seguridad social|passport|passeport|pasaporte|reisepass|tax|steuer|fiscal|fiscale|ein|tin|nif|nie|dni|driving licen[cs]e|f[üu]hrerschein|permis de conduire|carn[ée] de conducir)"
+#: Digits as words, by language.
+DIGITS = {
+    w: str(d)
+    for words in (
+        "zero one two three four five six seven eight nine", "null eins zwei drei vier fünf sechs sieben acht neun", "zéro un deux trois quatre cinq six sept huit neuf", "cero uno dos tres cuatro cinco seis siete ocho nueve",
+    )
+    for d, w in enumerate(words.split())
+} | {"oh": "0", "zwo": "2", "fuenf": "5"}
+#: Words for the at sign, each with the words for the dot that go with it.
+AT_DOT = {"at": ("dot", "punkt"), "ät": ("punkt",), "arroba": ("punto",), "arobase": ("point",)}
+#: Words before and behind a person's name, and words that end or begin the names of offices, places and things.
+BEFORE_PERSON = (
+    "contact ask call phone email write tell told names named meet met by with from for to of and dear hello hi name called colleague neighbour manager tenant witness patient client customer applicant owner "
+    "frau herr kollege kollegin von mit an bei madame monsieur par avec chez de señor señora por con"
+).split()
+BEHIND_PERSON = (
+    "wrote writes said says asked asks told called calls confirmed confirms lives lived signed phoned replied explained mentioned complained reported insisted wants wanted works worked moved asked as "
+    "schrieb sagte fragte wohnt bestätigte rief meint arbeitet écrit dit habite confirme demande escribió dijo vive llamó confirmó pide trabaja"
+).split()
+NO_PERSON = (
+    "authority office board commission council agency registry desk unit team service inspectorate bureau review panel body court ministry department committee institute university school college hospital clinic bank company ltd inc gmbh group society union press gazette bulletin monitor watch "
+    "road street lane avenue square quay bridge park port bay heights vale valley upper lower north south east west new old saint st mount lake river island city town village county hill hall house mill harbour station centre center "
+    "plan form policy notice report register act code law rule rules section article annex order list guide toolkit scanner system programme program project version data privacy health safety general national public federal united european international red green blue black white grey gray"
+).split()
