@@ -7,12 +7,12 @@
 3. *Explode.*  With that schema every array level is exploded into child rows
    that carry the parent's key and their ordinal.
 
-Levels deeper than ``LEVELS`` are carried as text and exploded in a next round.
+The schema has ``LEVELS`` array levels.  Records nested deeper are flattened below
+that while they are read, so plans stay bounded and no depth is too deep.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,118 +20,134 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veridrome.functions.deepjson import dumps, loads
+
 #: Fields that hold child records.
 ARRAYS = ("violations", "evidence", "spans", "related", "reviews", "comments", "replies")
 #: Array levels that one expression unrolls.
 LEVELS = 6
 NODE = "table_name string, record_id string, node_path string, parent_path string, level string, ordinal int, attributes string"
+#: Where a record in the unified form keeps its own attributes, and the rows of all records below the last level.
+OWN, BELOW = "@", "~"
 
 
 def _held(v):
     """What a value in place of an array holds: a list of elements, or none."""
     while isinstance(v, str):
         try:
-            v = json.loads(v)
-        except (ValueError, RecursionError):
+            v = loads(v)
+        except ValueError:
             return None
     return [v] if isinstance(v, dict) else v if isinstance(v, list) else None
 
 
-def _node(x, attributes: bool = True):
-    """A child record in the unified form; ``@`` has its own attributes, if asked for."""
-    if not isinstance(x, dict):
-        return None
-    own, out = {}, {}
+def _parts(x: dict) -> tuple[dict, dict[str, list]]:
+    """A record's own attributes, and its child arrays by the path of field names to them."""
+    own, kids = {}, {}
     todo = [("", x)]
     while todo:
         prefix, part = todo.pop()
         for k, v in part.items():
             if k in ARRAYS:
-                kids = _held(v)
-                if kids is not None:
-                    out[prefix + k] = [_node(e, attributes) for e in kids]
-            elif isinstance(v, dict):
-                if prefix == "":
-                    own[k] = v
-                todo.append((f"{prefix}{k}.", v))
-            elif prefix == "":
+                held = _held(v)
+                if held is not None:
+                    kids[prefix + k] = held
+                    continue
+            if prefix == "":
                 own[k] = v
-    if attributes:
-        out["@"] = json.dumps(own, ensure_ascii=False)
-    return out
+            if isinstance(v, dict) and k not in ARRAYS:
+                todo.append((f"{prefix}{k}.", v))
+    return own, kids
 
 
-def unify(text: str | None, native: bool = False, attributes: bool = True) -> str | None:
-    """The unified JSON array of a root field; null if it holds no record.
+def _flat(x: dict) -> tuple[dict, list[dict]]:
+    """A record's own attributes, and rows for all records below it, with paths from it."""
+    own, kids = _parts(x)
+    rows, todo = [], [("", kids)]
+    while todo:
+        path, kids = todo.pop()
+        for f, elements in kids.items():
+            for i, e in enumerate(elements, 1):
+                if isinstance(e, dict):
+                    mine, below = _parts(e)
+                    at = f"{path}.{f}[{i}]"
+                    rows.append({"p": at, "q": path, "l": f.rpartition(".")[2], "o": i, "a": dumps(mine)})
+                    todo.append((at, below))
+    return own, rows
+
+
+def _node(x, level: int):
+    """A child record in the unified form, or null for what is none."""
+    if not isinstance(x, dict):
+        return None
+    if level == LEVELS:
+        own, rows = _flat(x)
+        return {OWN: dumps(own)} | ({BELOW: rows} if rows else {})
+    own, kids = _parts(x)
+    return {OWN: dumps(own)} | {k: [_node(e, level + 1) for e in v] for k, v in kids.items()}
 
-    Null, empty and unreadable texts, and plain values, hold none.  Records
-    nested too deep for the interpreter's stack count as unreadable.
+
+def elements(text: str | None, native: bool = False) -> list | None:
+    """The elements of a root field; null if it holds no array.
+
+    Null, empty and unreadable texts, and plain values, hold none.
     """
-    if text is None:
-        return None
-    try:
-        kids = _held(text)
-        if kids is None:
-            return None
-        if native:  # struct elements whose field ``context`` may hold JSON with child records
-            for e in kids:
-                if isinstance(e, dict) and isinstance(e.get("context"), str):
-                    inner = e["context"]
-                    while isinstance(inner, str):
-                        try:
-                            inner = json.loads(inner)
-                        except (ValueError, RecursionError):
-                            inner = None
-                    if isinstance(inner, dict):
-                        e.update({k: v for k, v in inner.items() if k in ARRAYS})
-        return json.dumps([_node(e, attributes) for e in kids], ensure_ascii=False)
-    except RecursionError:
-        return None
+    kids = _held(text) if isinstance(text, str) else None
+    if kids and native:  # struct elements whose field ``context`` may hold JSON with child records
+        for e in kids:
+            if isinstance(e, dict) and isinstance(e.get("context"), str):
+                inner = e["context"]
+                while isinstance(inner, str):
+                    try:
+                        inner = loads(inner)
+                    except ValueError:
+                        inner = None
+                if isinstance(inner, dict):
+                    e.update({k: v for k, v in inner.items() if k in ARRAYS})
+    return kids
+
 
+def unify(text: str | None, native: bool = False) -> str | None:
+    """The unified JSON array of a root field; null if it holds no record."""
+    kids = elements(text, native)
+    return None if kids is None else dumps([_node(e, 1) for e in kids])
 
-def _unifier(native: bool, attributes: bool):
-    return F.pandas_udf(lambda s: s.map(lambda t: unify(t, native, attributes)), T.StringType())
 
+@F.pandas_udf(T.StringType())
+def _unified(raw: pd.Series, native: pd.Series) -> pd.Series:
+    return pd.Series([unify(t, n) for t, n in zip(raw, native)], dtype=object)
 
-def roots(df: DataFrame, table_name: str, key: str, fields: dict[str, Column], native: tuple[str, ...] = (), attributes: bool = True) -> DataFrame:
-    """Root fields in the unified form: (table_name, record_id, root, doc).
 
-    Without ``attributes`` only the places of records are kept.
+def roots(df: DataFrame, table_name: str, key: str, fields: dict[str, Column], native: tuple[str, ...] = ()) -> DataFrame:
+    """Root fields as they are stored: (table_name, record_id, root, raw, native).
 
     ``fields`` maps a root's name to a text column, or for a name in ``native``
-    to an array of structs.  Null fields give no row.
+    to an array of structs.  Null and blank fields give no row.
     """
     picked = []
     for name, c in fields.items():
         text = F.to_json(c, {"ignoreNullFields": "false"}) if name in native else c
         picked.append(F.struct(F.lit(name).alias("root"), text.alias("raw"), F.lit(name in native).alias("native")))
-    long = df.select(F.col(key).alias("record_id"), F.explode(F.array(*picked)).alias("f")).select("record_id", "f.*")
-    long = long.where(F.col("raw").isNotNull() & (F.trim("raw") != ""))
-    parts = []
-    if native:
-        parts.append(long.where("native").withColumn("doc", _unifier(True, attributes)("raw")))
-    if len(native) < len(fields):
-        parts.append(long.where("not native").withColumn("doc", _unifier(False, attributes)("raw")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.where(F.col("doc").isNotNull()).select(F.lit(table_name).alias("table_name"), "record_id", "root", "doc")
+    long = df.select(F.lit(table_name).alias("table_name"), F.col(key).alias("record_id"), F.explode(F.array(*picked)).alias("f")).select("table_name", "record_id", "f.*")
+    return long.where(F.col("raw").isNotNull() & (F.trim("raw") != ""))
 
 
 def _levels(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     seen: set[str] = set()
     for pdf in frames:
         fresh: set[str] = set()
-        for root, doc in zip(pdf["root"], pdf["doc"]):
-            todo = [(root, e) for e in json.loads(doc)]
+        for root, raw, native in zip(pdf["root"], pdf["raw"], pdf["native"]):
+            todo = [(root, 1, x) for x in elements(raw, native) or () if isinstance(x, dict)]
             while todo:
-                path, e = todo.pop()
-                if e is None:
-                    continue
+                path, level, x = todo.pop()
                 fresh.add(path)
-                for k, v in e.items():
-                    if k != "@":
-                        todo += [(f"{path}/{k}", x) for x in v]
+                kids = _parts(x)[1]
+                if level == LEVELS:
+                    if kids:
+                        fresh.add(f"{path}/{BELOW}")
+                    continue
+                for k, v in kids.items():
+                    todo += [(f"{path}/{k}", level + 1, e) for e in v if isinstance(e, dict)]
         fresh -= seen
         seen |= fresh
         if fresh:
@@ -143,60 +159,44 @@ def merged_schema(docs: DataFrame) -> list[str]:
 
     One job; the result is the size of the schema.
     """
-    return sorted(r.path for r in docs.select("root", "doc").mapInPandas(_levels, "path string").distinct().collect())
+    return sorted(r.path for r in docs.select("root", "raw", "native").mapInPandas(_levels, "path string").distinct().collect())
+
 
+FLAT = T.ArrayType(T.StructType([T.StructField(n, T.IntegerType() if n == "o" else T.StringType()) for n in ("p", "q", "l", "o", "a")]))
+ROWS = "array<struct<node_path:string,parent_path:string,level:string,ordinal:int,attributes:string>>"
 
-def _type(paths: set[str], at: str, depth: int) -> T.DataType:
-    fields = [T.StructField("@", T.StringType())]
+
+def _type(paths: set[str], at: str) -> T.ArrayType:
+    fields = [T.StructField(OWN, T.StringType())]
     for p in sorted(paths):
-        if p.startswith(f"{at}/") and "/" not in p[len(at) + 1 :]:
-            fields.append(T.StructField(p[len(at) + 1 :], _type(paths, p, depth - 1) if depth > 1 else T.StringType()))
+        name = p[len(at) + 1 :]
+        if p.startswith(f"{at}/") and "/" not in name:
+            fields.append(T.StructField(name, FLAT if name == BELOW else _type(paths, p)))
     return T.ArrayType(T.StructType(fields))
 
 
+def _row(path: Column, parent: Column, level: Column, ordinal: Column, attributes: Column) -> Column:
+    return F.struct(path.alias("node_path"), parent.alias("parent_path"), level.alias("level"), ordinal.cast("int").alias("ordinal"), attributes.alias("attributes"))
+
+
 def _explode(arr: Column, kind: T.ArrayType, at: str, base: Column, parent: Column) -> Column:
     """The rows of one array level (``at`` in the merged schema) and of all below it, as an array of structs."""
 
     def element(x: Column, i: Column) -> Column:
         path = F.concat(base, F.lit("["), (i + 1).cast("string"), F.lit("]"))
-        own = F.struct(
-            path.alias("node_path"),
-            parent.alias("parent_path"),
-            F.lit(at.rpartition("/")[2].rpartition(".")[2]).alias("level"),
-            (i + 1).cast("int").alias("ordinal"),
-            x["@"].alias("attributes"),
-            F.lit(None).cast("string").alias("rest"),
-            F.lit(None).cast("string").alias("rest_path"),
-            F.lit(None).cast("string").alias("rest_at"),
-        )
-        parts = [F.array(own)]
+        parts = [F.array(_row(path, parent, F.lit(at.rpartition("/")[2].rpartition(".")[2]), i + 1, x[OWN]))]
         for f in kind.elementType.fields:
-            if f.name == "@":
-                continue
             child = x.getField(f.name)
-            below = F.concat(path, F.lit(f".{f.name}"))
-            if isinstance(f.dataType, T.StringType):  # the next round takes it
-                rest = F.struct(
-                    F.lit(None).cast("string").alias("node_path"),
-                    path.alias("parent_path"),
-                    F.lit(f.name).alias("level"),
-                    F.lit(None).cast("int").alias("ordinal"),
-                    F.lit(None).cast("string").alias("attributes"),
-                    child.alias("rest"),
-                    below.alias("rest_path"),
-                    F.lit(f"{at}/{f.name}").alias("rest_at"),
-                )
-                parts.append(F.when(child.isNotNull(), F.array(rest)).otherwise(F.array().cast(ROWS)))
-            else:
-                parts.append(_explode(child, f.dataType, f"{at}/{f.name}", below, path))
+            if f.name == BELOW:
+                rows = F.transform(child, lambda r: _row(F.concat(path, r["p"]), F.concat(path, r["q"]), r["l"], r["o"], r["a"]))
+                parts.append(F.coalesce(rows, F.array().cast(ROWS)))
+            elif f.name != OWN:
+                parts.append(_explode(child, f.dataType, f"{at}/{f.name}", F.concat(path, F.lit(f".{f.name}")), path))
         return F.when(x.isNotNull(), F.concat(*parts)).otherwise(F.array().cast(ROWS))
 
     return F.coalesce(F.flatten(F.transform(arr, element)), F.array().cast(ROWS))
 
 
-ROWS = "array<struct<node_path:string,parent_path:string,level:string,ordinal:int,attributes:string,rest:string,rest_path:string,rest_at:string>>"
-
-
 def explode_levels(docs: DataFrame, paths: list[str] | None = None) -> DataFrame:
     """All child records of :func:`roots`, one row each, in the columns of ``NODE``.
 
@@ -208,22 +208,13 @@ def explode_levels(docs: DataFrame, paths: list[str] | None = None) -> DataFrame
     paths = merged_schema(docs) if paths is None else paths
     if not paths:
         return docs.sparkSession.createDataFrame([], NODE)
-    out = None
-    current = docs.select("table_name", "record_id", F.col("root").alias("base"), F.lit(None).cast("string").alias("parent"), "doc", F.col("root").alias("at"))
-    depth, offset = max(p.count("/") for p in paths) + 1, 0
-    while offset < depth:
-        starts = sorted({"/".join(p.split("/")[: offset + 1]) for p in paths if p.count("/") >= offset})
-        rows = F.array().cast(ROWS)
-        for s in starts:
-            kind = _type(set(paths), s, LEVELS)
-            rows = F.when(F.col("at") == s, _explode(F.from_json("doc", kind), kind, s, F.col("base"), F.col("parent"))).otherwise(rows)
-        made = current.select("table_name", "record_id", F.explode(rows).alias("r")).select("table_name", "record_id", "r.*")
-        done = made.where(F.col("node_path").isNotNull()).drop("rest", "rest_path", "rest_at")
-        out = done if out is None else out.unionByName(done)
-        offset += LEVELS
-        if offset < depth:
-            current = made.where(F.col("rest").isNotNull()).select("table_name", "record_id", F.col("rest_path").alias("base"), F.col("parent_path").alias("parent"), F.col("rest").alias("doc"), F.col("rest_at").alias("at"))
-    return out.distinct()
+    read = docs.select("table_name", "record_id", "root", _unified("raw", "native").alias("doc")).where(F.col("doc").isNotNull())
+    rows = F.array().cast(ROWS)
+    for root in sorted({p.split("/")[0] for p in paths}):
+        kind = _type(set(paths), root)
+        rows = F.when(F.col("root") == root, _explode(F.from_json("doc", kind), kind, root, F.col("root"), F.lit(None).cast("string"))).otherwise(rows)
+    made = read.select("table_name", "record_id", F.explode(rows).alias("r"))
+    return made.select("table_name", "record_id", "r.*").distinct()
 
 
 def level_table(nodes: DataFrame, level: str, columns: dict[str, str], attributes: bool = False) -> DataFrame:
@@ -236,7 +227,7 @@ def level_table(nodes: DataFrame, level: str, columns: dict[str, str], attribute
     return nodes.where(F.col("level") == level).select("table_name", "record_id", "node_path", "parent_path", "ordinal", *typed, *(["attributes"] if attributes else []))
 
 
-def compliance_roots(audit: DataFrame, events: DataFrame, attributes: bool = True) -> DataFrame:
+def compliance_roots(audit: DataFrame, events: DataFrame) -> DataFrame:
     """The roots of audit entries and compliance events."""
-    a = roots(audit, "audit_entries", "entry_id", {"violations": F.col("violations"), "reviews": F.element_at("metadata", F.lit("reviews"))}, native=("violations",), attributes=attributes)
-    return a.unionByName(roots(events, "compliance_events", "id", {"violations": F.col("violations")}, attributes=attributes))
+    a = roots(audit, "audit_entries", "entry_id", {"violations": F.col("violations"), "reviews": F.element_at("metadata", F.lit("reviews"))}, native=("violations",))
+    return a.unionByName(roots(events, "compliance_events", "id", {"violations": F.col("violations")}))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veridrome.operators import nested, references, timestamps
+from veridrome.operators.skew import spread
 from veridrome.sources.tables import table
 
 
@@ -23,14 +24,14 @@ def p2_orphans_by_month(spark, d):
     return references.orphan_report(_orphans(spark, d), "id", F.lit("updates"), F.date_format("at", "yyyy-MM"))
 
 
-def _nodes(spark, d, attributes=True):
-    docs = nested.compliance_roots(table(spark, d, "audit_entries"), table(spark, d, "compliance_events"), attributes)
-    return nested.explode_levels(docs)
+def _nodes(spark, d):
+    audit = spread(table(spark, d, "audit_entries", "entry_id", "violations", "metadata"))
+    return nested.explode_levels(nested.compliance_roots(audit, spread(table(spark, d, "compliance_events", "id", "violations"))))
 
 
 def p3_found(spark, d):
     """Every object of the nested array fields, with its place."""
-    return _nodes(spark, d, False).select("table_name", "record_id", "node_path")
+    return _nodes(spark, d).select("table_name", "record_id", "node_path")
 
 
 def p3_spans(spark, d):
@@ -71,7 +72,7 @@ def p3_replies(spark, d):
 
 def p3_links(spark, d):
     """Records of each level and of those how many have a parent."""
-    n = _nodes(spark, d, False)
+    n = _nodes(spark, d)
     return n.groupBy("table_name", "level").agg(F.count(F.lit(1)).alias("n_records"), F.count("parent_path").alias("n_with_parent"))
 
 
