@@ -65,7 +65,7 @@ def p6_found(spark, d):
     """Lines that do not belong to the article."""
     u, model = _pages(spark, d), pages.page_model()
     index = residue.Index(*residue.word_weights(u))
-    return pages.lines_around(u, model, residue.skipper(index, model)).select(F.col("id").alias("update_id"), "field", "line_no")
+    return pages.lines_around(u, model, residue.skipper(index)).select(F.col("id").alias("update_id"), "field", "line_no")
 
 
 def p6_bodies(spark, d):

@@ -26,11 +26,14 @@ from veridrome.llm.tree import Tree, fit
 
 SPACES = re.compile(r"\s+")
 PIECES = re.compile(r"\s*(?:\||·|»|«|›|→|←|↓|<<|>>|\s/\s|\s>\s|\s-\s)\s*|\s{2,}")
+MARKED = re.compile(r"[|·»«›→←↓>/]|<<|\s-\s|\s{2}")
 MARKS = re.compile(r"\s*[|·»«›→←↓]\s*")
 WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|\d+")
 BULLET = re.compile(r"^(?:[•*·>–-]|\(?[a-z0-9]{1,2}[.)])\s+")
 LINK_BULLET = re.compile(r"^[>*»→]\s+")
 DEPTH, LEAST, RIDGE = 5, 20, 0.3
+#: Pages whose blocks are looked at together.
+PAGES = 500
 
 
 def plain(line: str) -> str:
@@ -40,12 +43,12 @@ def plain(line: str) -> str:
 
 def _words(line: str) -> list[str]:
     """Words of a block in plain form; all numbers are one."""
-    return ["0" if w[0].isdigit() else w for w in WORD.findall(plain(line))]
+    return ["0" if w[0].isdigit() else w for w in WORD.findall(line.lower())]
 
 
-def _units(words: list[str]) -> list[str]:
-    """Words, the first one once more as such, and pairs of neighbours."""
-    return [*words, *(f"{a} {b}" for a, b in zip(["⟨", *words], [*words, "⟩"]))]
+def _units(words: list[str]) -> set:
+    """Words, and pairs of neighbours with the block's ends."""
+    return {*words, *zip(["⟨", *words], [*words, "⟩"])}
 
 
 class Captions:
@@ -58,8 +61,8 @@ class Captions:
         labels: dict[tuple[str, ...], list[bool]] = {}
         for t, a in blocks:
             labels.setdefault(tuple(_words(t)), []).append(a)
-        sets = [set(_units(list(k))) for k in labels]
-        names = sorted(set().union(*sets))
+        sets = [_units(list(k)) for k in labels]
+        names = sorted(set().union(*sets), key=str)
         place = {u: i for i, u in enumerate(names)}
         x = np.zeros((len(sets), len(names)))
         for row, us in zip(x, sets):
@@ -73,8 +76,8 @@ class Captions:
 
     def density(self, words: list[str]) -> float:
         """Link density of a block, about -1 to 1; unknown units count 0."""
-        us = set(_units(words))
-        return self.base + sum(self.weight.get(u, 0.0) for u in us) / max(1, len(us)) ** 0.5
+        us, weight = _units(words), self.weight
+        return self.base + sum([weight[u] for u in us if u in weight]) / len(us) ** 0.5
 
 
 def _own(line: str, captions: Captions, alone: bool = False) -> tuple[float, ...]:
@@ -82,7 +85,7 @@ def _own(line: str, captions: Captions, alone: bool = False) -> tuple[float, ...
     words = _words(line)
     n = len(words)
     stripped = line.strip()
-    pieces = [s for s in PIECES.split(stripped) if s]
+    pieces = [s for s in PIECES.split(stripped) if s] if MARKED.search(stripped) else [stripped]
     short = sum(k for k in (len(WORD.findall(s)) for s in pieces) if k <= 3) if len(pieces) > 1 else 0
     letters = [w for w in stripped.split() if w[0].isalpha()]
     return (
@@ -94,22 +97,29 @@ def _own(line: str, captions: Captions, alone: bool = False) -> tuple[float, ...
         float(stripped.endswith((".", "!", "?"))),
         float(bool(BULLET.match(stripped.lower()))),
         float(bool(LINK_BULLET.match(stripped))),
-        float(any(s.strip().isdigit() for s in MARKS.split(stripped)[1:])),
+        float(any(s.strip().isdigit() for s in MARKS.split(stripped)[1:])) if len(pieces) > 1 else 0.0,
         stripped.count(":"),
     )
 
 
-def _with_neighbours(own: np.ndarray) -> np.ndarray:
-    """Own features; words and link density of one neighbour before and behind; their means over two on each side and the block itself; the place."""
+def _with_neighbours(own: np.ndarray, sizes: list[int]) -> np.ndarray:
+    """Features of the blocks of pages of the given sizes.
+
+    Own ones; words and link density of one neighbour before and behind; their
+    means over two on each side and the block itself; the place on the page.
+    """
     near = own[:, [0, 1]]
-    edge = np.zeros((2, near.shape[1]))
-    wide = np.vstack([edge, near, edge])
-    n = len(own)
-    i = np.arange(n, dtype=float)[:, None]
-    known = np.minimum(i, 2) + np.minimum(i[::-1], 2)
-    sides = [wide[k : k + n] for k in range(5)]
-    mean = sum(sides) / (known + 1)
-    return np.hstack([own, sides[1], sides[3], mean, (mean + near) / 2, np.minimum(i, 8), np.minimum(i[::-1], 8)])
+    sizes = np.array(sizes, np.int64)
+    first = np.repeat(np.cumsum(sizes) - sizes, sizes)
+    i = np.arange(len(own)) - first
+    left, right = i[:, None].astype(float), (np.repeat(sizes, sizes) - 1 - i)[:, None].astype(float)
+
+    def at(step: int) -> np.ndarray:
+        ok = (left if step < 0 else right) >= abs(step)
+        return np.where(ok, near[np.clip(np.arange(len(own)) + step, 0, max(0, len(own) - 1))], 0.0)
+
+    mean = (near + at(-1) + at(1) + at(-2) + at(2)) / (np.minimum(left, 2) + np.minimum(right, 2) + 1)
+    return np.hstack([own, at(-1), at(1), mean, (mean + near) / 2, np.minimum(left, 8), np.minimum(right, 8)])
 
 
 class PageModel:
@@ -118,17 +128,24 @@ class PageModel:
     def __init__(self, tree: Tree, captions: Captions):
         self.tree, self.captions = tree, captions
 
+    def around_all(self, pages: list[list[str]]) -> list[np.ndarray]:
+        """For each page which of its blocks stand around the article."""
+        own = np.array([_own(t, self.captions) for p in pages for t in p], float)
+        sizes = [len(p) for p in pages]
+        if not len(own):
+            return [np.zeros(0, bool) for _ in pages]
+        return np.split(self.tree.predict(_with_neighbours(own, sizes)) > 0.5, np.cumsum(sizes)[:-1])
+
     def around(self, lines: list[str]) -> np.ndarray:
-        """Which blocks of a page stand around the article."""
-        own = np.array([_own(t, self.captions) for t in lines], float)
-        return self.tree.predict(_with_neighbours(own)) > 0.5
+        """Which blocks of one page stand around the article."""
+        return self.around_all([lines])[0]
 
 
 def fit_pages(pages: list[list[tuple[str, bool]]]) -> PageModel:
     """Fit a tree on labelled pages; the densities of a block come from the other blocks."""
     captions = Captions([b for p in pages for b in p])
-    xs = [_with_neighbours(np.array([_own(t, captions, True) for t, _ in p], float)) for p in pages]
-    tree = fit(np.vstack(xs), np.array([float(a) for p in pages for _, a in p]), depth=DEPTH, least=LEAST)
+    own = np.array([_own(t, captions, True) for p in pages for t, _ in p], float)
+    tree = fit(_with_neighbours(own, [len(p) for p in pages]), np.array([float(a) for p in pages for _, a in p]), depth=DEPTH, least=LEAST)
     return PageModel(tree, captions)
 
 
@@ -138,18 +155,12 @@ def page_model() -> PageModel:
     return fit_pages(labelled_pages.pages())
 
 
-def around(lines: list[str], title: str | None, model: PageModel) -> np.ndarray:
-    """For each non-blank line, whether it stands around the article.
-
-    A line that repeats the page's title belongs to the article.
-    """
-    if not lines:
-        return np.zeros(0, bool)
-    out = model.around(lines)
-    if isinstance(title, str) and title.strip():
+def keep_title(outside: np.ndarray, lines: list[str], title: str | None) -> np.ndarray:
+    """Lines around the article without those that repeat the page's title, which belong to the article."""
+    if len(lines) and outside.any() and isinstance(title, str) and title.strip():
         t = plain(title)
-        out &= np.array([plain(x) != t for x in lines])
-    return out
+        return outside & np.array([not b or plain(x) != t for x, b in zip(lines, outside)])
+    return outside
 
 
 def split_lines(text) -> tuple[list[int], list[str]]:
@@ -164,12 +175,17 @@ def _marker(model: PageModel, skip):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             rows = []
-            for i, title, *fields in zip(pdf["id"], pdf["title"], pdf["content"], pdf["summary"]):
-                if skip and skip(title, fields[0]):
-                    continue
-                for name, text in zip(("content", "summary"), fields):
-                    numbers, lines = split_lines(text)
-                    rows += [(i, name, n) for n, b in zip(numbers, around(lines, title, model)) if b]
+            for begin in range(0, len(pdf), PAGES):
+                part = pdf.iloc[begin : begin + PAGES]
+                split = [split_lines(t) for name in ("content", "summary") for t in part[name]]
+                outside = model.around_all([lines for _, lines in split])
+                n = len(part)
+                for k, (i, title, content) in enumerate(zip(part["id"], part["title"], part["content"])):
+                    if skip and skip(title, content, split[k][1], outside[k]):
+                        continue
+                    for name, j in (("content", k), ("summary", n + k)):
+                        numbers, lines = split[j]
+                        rows += [(i, name, m) for m, b in zip(numbers, keep_title(outside[j], lines, title)) if b]
             yield pd.DataFrame(rows, columns=["id", "field", "line_no"])
 
     return run
@@ -180,7 +196,7 @@ def lines_around(pages: DataFrame, model: PageModel | None = None, skip=None) ->
 
     One pass over the pages; only the lines found are shuffled, to unify those
     of repeated rows.  Null, empty and blank fields give no row.  ``skip`` is a
-    predicate of title and content; records for which it holds give no row.
+    predicate of title, content, its lines and which of them stand around; records for which it holds give no row.
     """
     slim = pages.select("id", "title", "content", "summary")
     return slim.mapInPandas(_marker(model or page_model(), skip), "id string, field string, line_no int").distinct()
@@ -194,14 +210,14 @@ def main_body(pages: DataFrame, model: PageModel | None = None) -> DataFrame:
         for pdf in frames:
             out = {"id": pdf["id"]}
             for name in ("content", "summary"):
+                split = [split_lines(t) for t in pdf[name]]
                 kept = []
-                for title, text in zip(pdf["title"], pdf[name]):
+                for title, text, (numbers, lines), outside in zip(pdf["title"], pdf[name], split, model.around_all([x for _, x in split])):
                     if not isinstance(text, str):
                         kept.append(None)
                         continue
-                    numbers, lines = split_lines(text)
-                    gone = {n for n, b in zip(numbers, around(lines, title, model)) if b}
-                    kept.append("\n".join(t for n, t in enumerate(text.split("\n"), 1) if n not in gone).strip("\n"))
+                    gone = {m for m, b in zip(numbers, keep_title(outside, lines, title)) if b}
+                    kept.append("\n".join(t for m, t in enumerate(text.split("\n"), 1) if m not in gone).strip("\n"))
                 out[name] = kept
             yield pd.DataFrame(out)
 

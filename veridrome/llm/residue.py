@@ -134,15 +134,17 @@ def word_weights(records: DataFrame, columns: tuple[str, ...] = ("content", "tit
     return df, df.pop("", 0)
 
 
-def content_is_residue(index: Index, model: pages.PageModel, title, content) -> bool:
-    """Whether a content holds a slot or, without the lines around the article, only residue."""
-    if not isinstance(content, str) or not content.strip():
+def content_is_residue(index: Index, title, content, lines: list[str], outside) -> bool:
+    """Whether a content holds a slot or, without the lines around the article, only residue.
+
+    ``lines`` are its non-blank lines and ``outside`` tells which of them stand
+    around the article.
+    """
+    if not lines:
         return False
     if _slot(index, content):
         return True
-    _, lines = pages.split_lines(content)
     t = pages.plain(title) if isinstance(title, str) else None
-    outside = pages.around(lines, None, model)
     body = [x for x, b in zip(lines, outside) if not b and pages.plain(x) != t]
     if body:
         return index.residue(body)
@@ -162,10 +164,11 @@ def find(records: DataFrame, index: Index | None = None) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             rows = []
-            for i, title, content in zip(pdf["id"], pdf["title"], pdf["content"]):
+            every = [pages.split_lines(t)[1] for t in pdf["content"]]
+            for i, title, content, lines, outside in zip(pdf["id"], pdf["title"], pdf["content"], every, model.around_all(every)):
                 if isinstance(title, str) and title.strip() and (_slot(index, title) or index.residue([title])):
                     rows.append((i, "title"))
-                if content_is_residue(index, model, title, content):
+                if content_is_residue(index, title, content, lines, outside):
                     rows.append((i, "content"))
             yield pd.DataFrame(rows, columns=["id", "field"])
 
@@ -177,6 +180,6 @@ def _slot(index: Index, text: str) -> bool:
     return bool(OPENS.search(text)) and any(index.coverage(m[0]) >= COVERED for m in SLOT.finditer(text))
 
 
-def skipper(index: Index, model: pages.PageModel):
+def skipper(index: Index):
     """A predicate for :func:`pages.lines_around`: the content is residue."""
-    return lambda title, content: content_is_residue(index, model, title, content)
+    return lambda title, content, lines, outside: content_is_residue(index, title, content, lines, outside)
