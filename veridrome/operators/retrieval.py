@@ -1,4 +1,4 @@
-"""Ranking of candidates: merging of hit lists, boosts, budgets, diversity."""
+"""Ranking of candidates: merging of hit lists, boosts, diversity.  Budgets: ``operators/selection.py``."""
 
 from __future__ import annotations
 
@@ -25,15 +25,9 @@ def first_per_group(df: DataFrame, group: str, key: str) -> DataFrame:
     return df.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
-def within_budget(df: DataFrame, group: str, key: str, cost: str, budget: int) -> DataFrame:
-    """Rows of each group, best first, as long as their summed cost stays within the budget."""
-    w = Window.partitionBy(group).orderBy(F.desc("score"), key).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("spent", F.sum(cost).over(w)).where(F.col("spent") <= budget)
-
-
 def mix(df: DataFrame, source: str, key: str, quotas: dict[str, int]) -> DataFrame:
     """A fixed number of rows a source, those with the smallest hashes (a sampling operator)."""
-    w = Window.partitionBy(source).orderBy(F.xxhash64(key), key)
+    w = Window.partitionBy(source).orderBy(F.md5(F.col(key).cast("string")), key)
     quota = F.lit(0)
     for s, n in quotas.items():
         quota = F.when(F.col(source) == s, n).otherwise(quota)

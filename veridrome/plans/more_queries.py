@@ -94,14 +94,8 @@ def rewrite_span_removal(spark, d):
 _MAP = {"shall": "must", "suspended": "paused", "whatever": "whichever"}
 
 
-@query("SELECT doc_id, " + "".join("regexp_replace(" for _ in range(9)) + "text" + "".join(f", '\\b{f(a)}\\b', '{f(b)}', 'g')" for a, b in _MAP.items() for f in (str, str.capitalize, str.upper)) + " AS rewritten FROM documents WHERE text IS NOT NULL AND lang = 'en'")
-def rewrite_terms_keep_case(spark, d):
-    """Terms replaced with their case kept."""
-    return _docs(spark, d, "lang").where("lang = 'en'").select("doc_id", W.replace_terms(F.col("text"), _MAP).alias("rewritten"))
-
-
 @query()
-def rewrite_terms_keep_case_all(spark, d):
+def rewrite_terms_keep_case(spark, d):
     """Terms of documents of every language replaced with their case kept; checked against a loop in the tests."""
     return _docs(spark, d).select("doc_id", W.replace_terms(F.col("text"), _MAP, edges=P.EDGES).alias("rewritten"))
 
@@ -129,17 +123,17 @@ def report_html_empty(spark, d):
     return a.select("entry_id", F.length(W.render(F.col("entry_id"), F.col("steps"), "html")).alias("n_chars"))
 
 
-@query("""WITH e AS (SELECT DISTINCT source, target FROM (SELECT n_name AS source, lead(n_name) OVER (PARTITION BY n_regionkey ORDER BY n_name) AS target FROM nation) WHERE target IS NOT NULL),
-one AS (SELECT source AS start, target AS node, 1 AS distance FROM e WHERE source IN (SELECT n_name FROM nation WHERE n_nationkey % 7 = 0)), two AS (SELECT o.start, e.target AS node, 2 AS distance FROM one o JOIN e ON o.node = e.source)
+_EDGES = "SELECT DISTINCT user_id AS source, content_id AS target FROM content_events WHERE user_id IS NOT NULL AND content_id IS NOT NULL UNION SELECT DISTINCT content_id, unnest(framework_ids) FROM compliance_events WHERE content_id IS NOT NULL"
+
+
+@query(f"""WITH e AS (SELECT * FROM ({_EDGES}) WHERE target IS NOT NULL), one AS (SELECT DISTINCT source AS start, target AS node, 1 AS distance FROM e WHERE source IN (SELECT user_id FROM content_events)),
+two AS (SELECT o.start, e.target AS node, 2 AS distance FROM one o JOIN e ON o.node = e.source)
 SELECT start, node, min(distance)::INT AS distance FROM (SELECT * FROM one UNION ALL SELECT * FROM two) GROUP BY ALL""")
 def graph_related(spark, d):
-    """Nodes within two steps of a few start nodes."""
-    from pyspark.sql.window import Window
-
-    n = table(spark, d, "nation", "n_nationkey", "n_name", "n_regionkey")
-    e = n.select(F.col("n_name").alias("source"), F.lead("n_name").over(Window.partitionBy("n_regionkey").orderBy("n_name")).alias("target")).where("target is not null")
-    starts = n.where(F.col("n_nationkey") % 7 == 0).select(F.col("n_name").alias("node"))
-    return graph.related(e, starts, 2)
+    """Contents and frameworks within two steps of every user."""
+    c = table(spark, d, "content_events", "user_id", "content_id").where("user_id is not null and content_id is not null")
+    f = table(spark, d, "compliance_events", "content_id", "framework_ids").where("content_id is not null").select("content_id", F.explode("framework_ids").alias("f")).where("f is not null")
+    return graph.related(c.union(f).toDF("source", "target").distinct(), c.select(F.col("user_id").alias("node")).distinct(), 2)
 
 
 @query()
@@ -219,17 +213,8 @@ def rule_problematic(spark, d):
     return bad.orderBy(F.desc(F.col("fp") / F.greatest("tp", F.lit(1))), "f1", "rule_id").limit(5).select("rule_id", "tp", "fp", "f1")
 
 
-@query("""SELECT kind, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(s, '(?:must not|may not|prohibited|no .* may be)') THEN 'prohibition' WHEN regexp_matches(s, '(?:must|shall|have to|required)') THEN 'obligation' WHEN regexp_matches(s, '(?:may|can|allowed)') THEN 'permission' ELSE 'other' END AS kind
-FROM (SELECT lower(unnest(list_filter(list_transform(string_split_regex(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ')), lambda x: x <> ''))) AS s FROM documents WHERE text IS NOT NULL AND lang = 'en')) GROUP BY kind""")
-def rule_sentence_kinds(spark, d):
-    """Sentences by whether they forbid, demand or allow."""
-    s = _docs(spark, d, "lang").where("lang = 'en'").select(F.explode(F.transform(T.sentences(F.col("text")), lambda x: F.lower(x))).alias("s"))
-    kind = F.when(F.col("s").rlike("(?:must not|may not|prohibited|no .* may be)"), "prohibition").when(F.col("s").rlike("(?:must|shall|have to|required)"), "obligation").when(F.col("s").rlike("(?:may|can|allowed)"), "permission").otherwise("other")
-    return s.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @query()
-def rule_sentence_kinds_all(spark, d):
+def rule_sentence_kinds(spark, d):
     """Sentences of every language by whether they forbid, demand or allow; checked against a loop in the tests."""
     s = _docs(spark, d).select(F.explode(F.transform(T.sentences(F.col("text"), P.SPACE), lambda x: F.lower(x))).alias("s"))
     kind = F.when(F.col("s").rlike(r"(?:must not|may not|prohibited|no [^\n]* may be)"), "prohibition").when(F.col("s").rlike("(?:must|shall|have to|required)"), "obligation").when(F.col("s").rlike("(?:may|can|allowed)"), "permission").otherwise("other")

@@ -303,20 +303,13 @@ def retrieval_diverse(spark, d):
     return retrieval.first_per_group(j, "framework_id", "doc_id").select("framework_id", "doc_id", "score")
 
 
-@query(f"WITH {_HITS} SELECT framework_id, doc_id, spent::BIGINT AS spent FROM (SELECT framework_id, m.doc_id, sum(n_chars) OVER (PARTITION BY framework_id ORDER BY m.score DESC, m.doc_id ROWS UNBOUNDED PRECEDING) AS spent FROM m JOIN documents USING (doc_id)) WHERE spent <= 5000")
-def retrieval_budget(spark, d):
-    """The best hits of each framework within 5000 characters."""
-    j = _hits(spark, d).join(table(spark, d, "documents", "doc_id", "framework_id", "n_chars"), "doc_id")
-    return retrieval.within_budget(j, "framework_id", "doc_id", "n_chars", 5000).select("framework_id", "doc_id", "spent")
-
-
 @query("SELECT source, n, round(n / sum(n) OVER (), 6) AS weight FROM (SELECT source, count(*) AS n FROM documents GROUP BY source)")
 def sampling_weights(spark, d):
     """Share of each source."""
     return retrieval.normalised_weights(table(spark, d, "documents", "source"), "source")
 
 
-@query()
+@query("""SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(doc_id::VARCHAR), doc_id) AS r FROM documents) WHERE (source = 'helpdesk_export' AND r <= 50) OR (source = 'forum_dump' AND r <= 20)""")
 def sampling_mixture(spark, d):
     """Fifty documents of one source and twenty of another (a sampling operator)."""
     return retrieval.mix(table(spark, d, "documents", "doc_id", "source"), "source", "doc_id", {"helpdesk_export": 50, "forum_dump": 20})
@@ -350,13 +343,16 @@ def store_alerts(spark, d):
     return store.alert_rows(u, "id", F.unix_timestamp("found_date"))
 
 
-@query("""SELECT u.id, s.id AS source, s.country FROM (SELECT DISTINCT id, source_id, found_date, frameworks FROM updates) u JOIN sources s ON u.source_id = s.id WHERE list_has_any(u.frameworks, ['GDPR', 'CCPA']) AND u.found_date >= TIMESTAMPTZ '2024-06-01 00:00:00+00'""")
+_IDK = r"nullif(lower(regexp_replace({}, '^[\s\x{{0B}}\x{{1C}}-\x{{1F}}\x{{85}}\x{{A0}}\x{{2000}}-\x{{200A}}\x{{3000}}]+|[\s\x{{0B}}\x{{1C}}-\x{{1F}}\x{{85}}\x{{A0}}\x{{2000}}-\x{{200A}}\x{{3000}}]+$', '', 'g')), '')"
+
+
+@query(f"""SELECT DISTINCT u.id, s.id AS source, s.country FROM updates u JOIN sources s ON {_IDK.format('u.source_id')} = {_IDK.format('s.id')} WHERE list_has_any(u.frameworks, ['GDPR', 'CCPA']) AND u.found_date >= TIMESTAMPTZ '2024-06-01 00:00:00+00'""")
 def update_recent_by_framework(spark, d):
-    """Recent updates of two frameworks with their source."""
-    u = table(spark, d, "updates", "id", "source_id", "found_date", "frameworks").distinct()
+    """Recent updates of two frameworks with their source, whatever the spelling of its id."""
+    u = table(spark, d, "updates", "id", "source_id", "found_date", "frameworks")
     u = u.where(F.arrays_overlap("frameworks", F.array(F.lit("GDPR"), F.lit("CCPA"))) & (F.col("found_date") >= F.lit("2024-06-01").cast("timestamp")))
-    s = table(spark, d, "sources", "id", "country").select(F.col("id").alias("source"), "country")
-    return u.join(s, u.source_id == s.source).select(u.id, "source", "country")
+    s = table(spark, d, "sources", "id", "country").select(F.col("id").alias("source"), "country", id_key(F.col("id")).alias("key"))
+    return u.select("id", id_key(F.col("source_id")).alias("key")).distinct().join(s, "key").select("id", "source", "country").distinct()
 
 
 @query("""SELECT impact_level, count(*) AS n, count(*) FILTER (WHERE processed) AS n_processed FROM (SELECT id, any_value(impact_level) AS impact_level, bool_or(processed) AS processed FROM updates GROUP BY id) GROUP BY impact_level""")

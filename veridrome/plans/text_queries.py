@@ -91,22 +91,23 @@ def text_mask_keep_domain(spark, d):
     return _chunks(spark, d).where(F.col("text").rlike(EMAIL)).select("chunk_id", F.regexp_replace("text", r"\b[A-Za-z0-9._%+-]+@", "***@").alias("masked"))
 
 
-@query(f"SELECT chunk_id, (regexp_matches(text, '{EMAIL}') OR regexp_matches(text, '{SSN}') OR regexp_matches(text, '{PHONE}') OR regexp_matches(text, '{CARD}') OR regexp_matches(text, '{IP}')) AS has_personal FROM {_CH} WHERE length(text) < 1000")
+@query(f"SELECT chunk_id, (regexp_matches(text, '{EMAIL}') OR regexp_matches(text, '{SSN}') OR regexp_matches(text, '{PHONE}') OR regexp_matches(text, '{CARD}') OR regexp_matches(text, '{IP}')) AND length(text) < 1000 AS has_personal FROM {_CH}")
 def text_has_personal(spark, d):
-    """Whether a short text holds a match of any of five patterns."""
+    """Whether a text is short and holds a match of any of five patterns; longer ones are left to other means."""
     hit = F.lit(False)
     for p in (EMAIL, SSN, PHONE, CARD, IP):
         hit = hit | F.col("text").rlike(p)
-    return _chunks(spark, d).where(F.length("text") < 1000).select("chunk_id", hit.alias("has_personal"))
+    return _chunks(spark, d).select("chunk_id", (hit & (F.length("text") < 1000)).alias("has_personal"))
 
 
 @query(f"""WITH m AS (SELECT chunk_id, text, regexp_extract_all(text, '{EMAIL}') AS hits, string_split_regex(text, '{EMAIL}') AS parts FROM {_CH}),
-e AS (SELECT chunk_id, text, length(parts[1]) AS s, length(parts[1]) + length(hits[1]) AS t FROM m WHERE len(hits) > 0)
-SELECT chunk_id, substring(text, greatest(s - 50, 0) + 1, t + 50 - greatest(s - 50, 0)) AS around FROM e""")
+x AS (SELECT chunk_id, text, hits, parts, unnest(range(1, len(hits) + 1)) AS i FROM m WHERE len(hits) > 0),
+e AS (SELECT chunk_id, text, list_sum(list_transform(parts[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS s, length(hits[i]) AS n FROM x)
+SELECT chunk_id, s::INT AS start_pos, substring(text, (greatest(s - 50, 0) + 1)::BIGINT, (s + n + 50 - greatest(s - 50, 0))::BIGINT) AS around FROM e""")
 def text_context_windows(spark, d):
-    """Fifty characters around the first e-mail match of a text."""
-    m = _chunks(spark, d).withColumn("m", F.get(P.matches(F.col("text"), EMAIL), F.lit(0))).where("m is not null")
-    return m.select("chunk_id", P.context(F.col("text"), F.col("m.start"), F.col("m.end")).alias("around"))
+    """Fifty characters around every e-mail match of a text."""
+    m = _chunks(spark, d).select("chunk_id", "text", F.explode(P.matches(F.col("text"), EMAIL)).alias("m"))
+    return m.select("chunk_id", F.col("m.start").alias("start_pos"), P.context(F.col("text"), F.col("m.start"), F.col("m.end")).alias("around"))
 
 
 @query(f"""SELECT kind, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(hit, '^({EMAIL})') THEN 'email' WHEN regexp_matches(hit, '^({SSN})') THEN 'ssn' WHEN regexp_matches(hit, '^({PHONE})') THEN 'phone' ELSE 'generic' END AS kind
@@ -118,19 +119,8 @@ def text_detail_types(spark, d):
     return hits.select(kind.alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT hex, count(*) AS n FROM (SELECT (CASE WHEN regexp_matches(text, '(?i)\\b(?:MRN|Medical Record Number)[:\\s]*\\d{4,10}\\b') THEN 1 ELSE 0 END + CASE WHEN regexp_matches(text, '(?i)\\b(?:Patient ID|PID)[:\\s]*\\d{4,10}\\b') THEN 2 ELSE 0 END
-+ CASE WHEN regexp_matches(text, '\\b[A-Z]\\d{2}(?:\\.\\d{1,2})?\\b') THEN 4 ELSE 0 END + CASE WHEN regexp_matches(text, '(?i)\\bNPI[:\\s]*\\d{10}\\b') THEN 8 ELSE 0 END)::INT AS hex
-FROM (SELECT text FROM documents WHERE text IS NOT NULL AND lang = 'en' UNION ALL SELECT * FROM (VALUES ('MRN: 12345'), ('patient id 00991'), ('code A12.5 noted'), ('NPI 1234567890 and MRN 4444'), ('none')))) GROUP BY hex""")
-def text_health_flags(spark, d):
-    """Texts by the set of health patterns they match (with literal rows that hold each)."""
-    docs = table(spark, d, "documents", "text", "lang").where("text is not null and lang = 'en'").select("text")
-    rows = spark.createDataFrame([("MRN: 12345",), ("patient id 00991",), ("code A12.5 noted",), ("NPI 1234567890 and MRN 4444",), ("none",)], "text string")
-    bits = sum(F.when(F.col("text").rlike(p), 2**i).otherwise(0) for i, p in enumerate(P.HEALTH.values()))
-    return docs.unionByName(rows).groupBy(bits.cast("int").alias("hex")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @query()
-def text_health_flags_all(spark, d):
+def text_health_flags(spark, d):
     """Texts of every language by the set of health patterns they match; checked against a loop in the tests."""
     bits = sum(F.when(F.col("text").rlike(P.any_script(p)), 2**i).otherwise(0) for i, p in enumerate(P.HEALTH.values()))
     return _docs(spark, d).groupBy(bits.cast("int").alias("hex")).agg(F.count(F.lit(1)).alias("n"))
@@ -196,25 +186,18 @@ def text_top_trigrams(spark, d):
     return g.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "gram").limit(50)
 
 
-@query("""WITH s AS (SELECT doc_id, list_filter(list_transform(string_split_regex(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ')), lambda x: x <> '') AS ss FROM documents WHERE text IS NOT NULL AND lang = 'en')
-SELECT doc_id, len(ss)::BIGINT AS n_sentences FROM s""")
-def text_sentence_counts(spark, d):
-    """Sentences of each English document."""
-    return _docs(spark, d, "lang").where("lang = 'en'").select("doc_id", F.size(T.sentences(F.col("text"))).cast("long").alias("n_sentences"))
-
-
 @query()
-def text_sentence_counts_all(spark, d):
+def text_sentence_counts(spark, d):
     """Sentences of each document of every language; checked against a loop in the tests."""
     return _docs(spark, d).select("doc_id", F.size(T.sentences(F.col("text"), P.SPACE)).cast("long").alias("n_sentences"))
 
 
-@query("""WITH c AS (SELECT doc_id, ch, count(*) AS n FROM (SELECT doc_id, unnest(string_split(title, '')) AS ch FROM (SELECT doc_id, source AS title FROM documents WHERE source IS NOT NULL)) WHERE ch <> '' GROUP BY ALL),
+@query("""WITH c AS (SELECT doc_id, ch, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?s).')) AS ch FROM documents WHERE text <> '') GROUP BY ALL),
 t AS (SELECT doc_id, n, sum(n) OVER (PARTITION BY doc_id) AS total FROM c)
-SELECT doc_id, round(-sum(n / total * log2(n / total)), 6) AS bits FROM t GROUP BY doc_id""")
+SELECT doc_id, round(0 - sum(n / total * log2(n / total)), 6) AS bits FROM t GROUP BY doc_id""")
 def text_entropy(spark, d):
-    """Entropy of the characters of each source name."""
-    return table(spark, d, "documents", "doc_id", "source").where("source is not null").select("doc_id", F.round(T.entropy(F.col("source")), 6).alias("bits"))
+    """Entropy of the characters of each text that is not empty."""
+    return _docs(spark, d).where("text <> ''").select("doc_id", F.round(T.entropy(F.col("text")), 6).alias("bits"))
 
 
 @query("SELECT doc_id, CASE WHEN length(text) > 200 THEN substring(text, 1, 200) || '...' ELSE text END AS excerpt FROM documents WHERE text IS NOT NULL")
@@ -291,17 +274,8 @@ def text_impact_level(spark, d):
 _TERMS = {"chairman": "chairperson", "blacklist": "blocklist", "complaint": "concern", "suspended": "paused"}
 
 
-@query(f"SELECT doc_id, {''.join('regexp_replace(' for _ in _TERMS)}text{''.join(f', {chr(39)}\\b{a}\\b{chr(39)}, {chr(39)}{b}{chr(39)}, {chr(39)}g{chr(39)})' for a, b in _TERMS.items())} AS rewritten FROM {_DOC} WHERE lang = 'en'")
-def text_term_replacement(spark, d):
-    """Whole words replaced by an ordered term map."""
-    t = F.col("text")
-    for a, b in _TERMS.items():
-        t = F.regexp_replace(t, rf"\b{a}\b", b)
-    return _docs(spark, d, "lang").where("lang = 'en'").select("doc_id", t.alias("rewritten"))
-
-
 @query()
-def text_term_replacement_all(spark, d):
+def text_term_replacement(spark, d):
     """Whole words of documents of every language replaced by an ordered term map; checked against a loop in the tests."""
     return _docs(spark, d).select("doc_id", W.replace_terms(F.col("text"), _TERMS, False, P.EDGES).alias("rewritten"))
 
