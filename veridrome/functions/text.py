@@ -75,6 +75,9 @@ def plain_count(text: Column, term: str) -> Column:
 
 def overlapping_count(text: Column, term: str) -> Column:
     """Occurrences that may overlap: "aaaa" holds "aa" three times."""
+    t = term.lower()
+    if t and not any(t[:k] == t[-k:] for k in range(1, len(t))):  # such a term cannot overlap itself
+        return plain_count(text, term)
     quoted = "".join("\\" + c if not c.isalnum() and c != " " else c for c in term.lower())
     return F.coalesce(F.regexp_count(F.lower(text), F.lit(f"(?={quoted})")), F.lit(0)).cast("long")
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from veridrome.functions.keys import id_key, strip
 from veridrome.operators.skew import broadcast_if_small, salted_join
+from veridrome.session import materialise
 
 #: Offsets of zone letters in minutes.
 LETTERS = {"Z": 0, "UTC": 0, "GMT": 0, "CET": 60, "CEST": 120, "EST": -300, "EDT": -240, "PST": -480, "JST": 540}
@@ -190,7 +191,7 @@ def to_utc(parsed: DataFrame, salt: int = 16) -> DataFrame:
     Rows of a zone that does not exist are dropped.
     """
     pairs = parsed.select("_zone", "_year").distinct()
-    table = pairs.mapInPandas(_intervals, "_zone string, _year int, _from long, _to long, _over int, _off long")
+    table = materialise(pairs.mapInPandas(_intervals, "_zone string, _year int, _from long, _to long, _over int, _off long"))  # counted and then read, not made twice
     within = (F.col("_local") >= F.col("_from")) & (F.col("_local") < F.col("_to"))
     few, small = broadcast_if_small(table, 96)
     joined = salted_join(parsed, few, ["_zone", "_year"], "inner", 1 if small else salt, F.xxhash64("_local"), within)
@@ -240,4 +241,6 @@ def instants(updates: DataFrame, sources: DataFrame) -> DataFrame:
         F.col("last_checked").alias("text"),
     )
     rows = normalised(u, "updates", "id", clocks).unionByName(s)
-    return to_utc(parse(rows, "text", "date_order", "tz")).select("table_name", "record_id", "utc_us", "over").distinct()
+    # values are parsed once: the pairs of zone and year and the join both read what was written
+    parsed = materialise(parse(rows, "text", "date_order", "tz").select("table_name", "record_id", "_zone", "_year", "_local"))
+    return to_utc(parsed).select("table_name", "record_id", "utc_us", "over").distinct()
