@@ -111,9 +111,8 @@ def plain_passages(texts: list[str]) -> tuple[str, np.ndarray]:
     lines = [p for ps in parts for p in ps]
     if not lines:
         return "", per
-    low = "\n".join(lines).lower()
-    if not low.isascii():
-        low = low.translate(FOLD)
+    plain = [p.lower() if p.isascii() else p.lower().translate(FOLD) for p in lines]
+    low = "\n".join(plain)
     raw = np.frombuffer(low.encode("utf-8", "surrogatepass") + b"\n\n\n", np.uint8)
     kind = ODD[raw]
     letter = kind == 1
@@ -125,7 +124,6 @@ def plain_passages(texts: list[str]) -> tuple[str, np.ndarray]:
     odd[alone[:-3][alone[3:] - alone[:-3] <= 9]] = True
     ends = np.flatnonzero(raw == 10)
     of = lambda hit: np.unique(np.searchsorted(ends, np.flatnonzero(hit))).tolist()
-    plain = low.split("\n")
     for k in of(raw == 34):
         plain[k] += " ⟦quote⟧"
     for k in of(odd):
