@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Modules with ``QUERIES`` and ``SQL``.
-MODULES = ("records", "text_queries", "event_queries", "rule_queries", "more_queries", "entity_queries")
+MODULES = ("records", "text_queries", "event_queries", "rule_queries", "more_queries", "entity_queries", "inventory_queries")
 
 
 def queries() -> dict[str, Query]:
