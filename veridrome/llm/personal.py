@@ -29,6 +29,7 @@ _NUM = "|".join(sorted(W.DIGITS, key=len, reverse=True))
 _TIMES = {"double": 2, "triple": 3}
 _DIGIT = rf"(?:(?:double|triple)[\s-]+)?(?:{_NUM})"
 SPELLED = re.compile(rf"\b{_DIGIT}(?:[\s,-]+{_DIGIT}){{5,}}\b", re.I)
+DIGIT_WORDS, WORDS = frozenset(W.DIGITS), re.compile(r"[^\W\d_]+")
 ONE_DIGIT = re.compile(rf"\b(?:(double|triple)[\s-]+)?({_NUM})\b", re.I)
 _ATS, _DOTS = "|".join(W.AT_DOT), "|".join(dict.fromkeys(d for ds in W.AT_DOT.values() for d in ds))
 _AT = rf"(?:\s*[(\[{{<]\s*(?:{_ATS})\s*[)\]}}>]\s*|\s+(?:{_ATS})\s+|\s*@\s*)"
@@ -45,7 +46,9 @@ class Plain:
         self.text, self.starts, self.ends = source, None, None  # None: identity
         if ODD.search(source):
             self._letters(source)
-        self._rewrite(SPELLED, self._digits)
+        # six words at least make a spelled number
+        if sum(w in DIGIT_WORDS for w in WORDS.findall(self.text.lower())) >= 6:
+            self._rewrite(SPELLED, self._digits)
         if HINT.search(self.text):
             self._rewrite(DISGUISED, self._address)
 
@@ -148,18 +151,23 @@ IDENTITY = re.compile(
 PLAIN_NUMBER = re.compile(r"\d{9}|\d{8}-?[A-Z]|\d{2}-\d{7}", re.I)
 THINGS = re.compile(rf"\b{W.THINGS}(?:\s+(?:no\.?|number|nr\.?|id))?[\s:#]*(?:[\d.:/-]+\s+(?:and|to|through)\s+)?$", re.I)
 LABELS = re.compile(rf"\b{W.LABELS}", re.I)
-#: Forms of addresses, each with a hint without which it is not tried.
+_CALLE, _RUE = "calle avenida avda plaza paseo camino carrera".split(), "rue avenue boulevard place quai impasse chemin allée".split()
+_WEG = ("str", "straße", "strasse", "weg", "gasse", "platz", "allee", "ufer", "ring", "damm")
+#: Forms of addresses, each with words, or ends of words, without which it is not tried.
 ADDRESSES = [
-    (re.compile(hint, re.I), re.compile(form, re.I))
-    for hint, form in (
-        (rf"\b(?:{_STREET})\b", rf"(?<![\w/-])(?:{_UNIT},\s*)?\d{{1,5}}\s?[A-Za-z]?(?:\s?[-/]\s?\d{{1,4}}[A-Za-z]?)?\s+(?!{_OPENER}\b)(?:(?:st\.|{_L}[\w'’-]*)\s+){{1,4}}?(?:{_STREET})\b\.?(?:,\s*{_UNIT})?"),
-        (r"\b(?:calle|avenida|avda|plaza|paseo|camino|carrera)\b", rf"(?<!\w)(?:calle|avenida|avda\.?|plaza|paseo|camino|carrera)\s+(?:(?:de|del|la|las|los|el)\s+)*(?:{_L}[\w'’-]*\s+){{1,3}}\d{{1,4}}[a-z]?(?!\w)(?:,\s*{_UNIT})?"),
-        (r"(?:str\.|straße|strasse|weg|gasse|platz|allee|ufer|ring|damm)\s+\d", rf"(?<!\w){_L}[\w'’-]*(?:str\.|straße|strasse|weg|gasse|platz|allee|ufer|ring|damm)\s+\d{{1,4}}[a-z]?(?!\w)(?:,\s*{_UNIT})?"),
-        (r"\b(?:rue|avenue|boulevard|place|quai|impasse|chemin|allée)\b", rf"(?<![\w/-])\d{{1,4}}(?:[a-z](?!\w))?(?:\s?(?:bis|ter))?,?\s+(?:rue|avenue|boulevard|place|quai|impasse|chemin|allée)\s+(?:(?:de|du|des|la|le|les)\s+|(?:d|l)['’])*{_BIG}(?:\s+{_BIG})?"),
+    (frozenset(words), ends, re.compile(form, re.I))
+    for words, ends, form in (
+        (W.STREET, (), rf"(?<![\w/-])(?:{_UNIT},\s*)?\d{{1,5}}\s?[A-Za-z]?(?:\s?[-/]\s?\d{{1,4}}[A-Za-z]?)?\s+(?!{_OPENER}\b)(?:(?:st\.|{_L}[\w'’-]*)\s+){{1,4}}?(?:{_STREET})\b\.?(?:,\s*{_UNIT})?"),
+        (_CALLE, (), rf"(?<!\w)(?:calle|avenida|avda\.?|plaza|paseo|camino|carrera)\s+(?:(?:de|del|la|las|los|el)\s+)*(?:{_L}[\w'’-]*\s+){{1,3}}\d{{1,4}}[a-z]?(?!\w)(?:,\s*{_UNIT})?"),
+        ((), _WEG, rf"(?<!\w){_L}[\w'’-]*(?:str\.|straße|strasse|weg|gasse|platz|allee|ufer|ring|damm)\s+\d{{1,4}}[a-z]?(?!\w)(?:,\s*{_UNIT})?"),
+        (_RUE, (), rf"(?<![\w/-])\d{{1,4}}(?:[a-z](?!\w))?(?:\s?(?:bis|ter))?,?\s+(?:rue|avenue|boulevard|place|quai|impasse|chemin|allée)\s+(?:(?:de|du|des|la|le|les)\s+|(?:d|l)['’])*{_BIG}(?:\s+{_BIG})?"),
     )
 ]
 
 
+GERMAN_STREET = re.compile(rf"(?:str\.|{'|'.join(_WEG[1:])})\s+\d", re.I)
+
+
 @lru_cache(maxsize=50_000)
 def _fold(w: str) -> str:
     if w.isascii():
@@ -173,7 +181,7 @@ GIVEN = frozenset(W.GIVEN)
 STOP = frozenset(W.NO_SURNAME)
 TOKEN = re.compile(rf"{_L}+(?:[-'’]{_L}+)*\.?")
 LETTERS = re.compile(rf"{_L}+")
-TITLE_WORDS = frozenset(W.TITLES)
+TITLE_WORDS, CUE_WORDS = frozenset(W.TITLES), frozenset(W.CUE_WORDS)
 _TITLES = "|".join(W.TITLES)
 TITLED = re.compile(rf"\b((?:(?:{_TITLES})\b\.?\s+){{1,3}})((?:{_INIT}\s*)*(?:{_WORD}\s+)?{_SUR})", re.I)
 CUED = re.compile(rf"(?:\b(?:{'|'.join(W.CUES)}))\s*", re.I)
@@ -196,7 +204,7 @@ def _surname(w: str, style: str) -> bool:
     return len(w) >= 4 and _fold(w) not in STOP and (_style(w) == style or style == "any")
 
 
-def _names(text: str, taken: bytearray) -> list[tuple[int, int]]:
+def _names(text: str, taken: bytearray, words: set[str]) -> list[tuple[int, int]]:
     """Spans of names in a plain text, outside the places that are taken (and marks them)."""
     found: list[tuple[int, int]] = []
 
@@ -205,7 +213,6 @@ def _names(text: str, taken: bytearray) -> list[tuple[int, int]]:
             taken[a:b] = b"\1" * (b - a)
             found.append((a, b))
 
-    words = set(LETTERS.findall(text.lower()))
     known = not GIVEN.isdisjoint(words) or not text.isascii() and any(_fold(w) in GIVEN for w in words if not w.isascii())
     tokens = [(m.start(), m.end(), m[0]) for m in TOKEN.finditer(text)] if known else []
     given = [_fold(t.rstrip(".")) in GIVEN for _, _, t in tokens]
@@ -223,10 +230,10 @@ def _names(text: str, taken: bytearray) -> list[tuple[int, int]]:
             add(tokens[i][0], tokens[j + 1][0] + len(tokens[j + 1][2].rstrip(".")))
     for m in TITLED.finditer(text) if not TITLE_WORDS.isdisjoint(words) else ():
         name, a = m[2], m.start(2)
-        words = name.split()
-        last = words[-1]
+        parts = name.split()
+        last = parts[-1]
         if _fold(last) in STOP or _style(last) == "lower" and _style(m[1]) != "lower":
-            if len(words) < 2 or _fold(words[-2]) in STOP or not (_style(words[-2]) == _style(m[1]) or _style(words[-2]) == "title"):
+            if len(parts) < 2 or _fold(parts[-2]) in STOP or not (_style(parts[-2]) == _style(m[1]) or _style(parts[-2]) == "title"):
                 continue
             name = name[: name.rindex(last)].rstrip()
         add(a, a + len(name))
@@ -239,7 +246,7 @@ def _names(text: str, taken: bytearray) -> list[tuple[int, int]]:
             e = tokens[i][1] - tokens[i][2].endswith(".")
             if _surname(w, _style(tokens[i][2])) and _style(w) != "lower" and SURNAME_END.search(_fold(w)):
                 add(a, e + (3 if re.match(rf" {_L}\.(?!\w)", text[e : e + 4]) else 0))
-    for m in CUED.finditer(text):  # after an announcement, names that no list has
+    for m in CUED.finditer(text) if not CUE_WORDS.isdisjoint(words) else ():  # after an announcement, names that no list has
         n = re.match(rf"(?:[^\W\d_a-zà-ÿ]{_L}+|{_L}\.)(?:\s+(?:[^\W\d_a-zà-ÿ]{_L}+(?:-{_L}+)?|{_L}\.)){{1,2}}", text[m.end() :])
         if n and not any(_fold(w.rstrip(".")) in STOP for w in n[0].split()) and not n[0].endswith("."):
             add(m.end(), m.end() + n.end())
@@ -288,8 +295,9 @@ def detect(source) -> list[tuple[str, int, int]]:
     if "@" in text:
         for m in EMAIL.finditer(text):
             add("email", m.start(), m.end())
-    for hint, form in ADDRESSES:
-        if hint.search(text):
+    words = set(LETTERS.findall(text.lower()))
+    for hints, ends, form in ADDRESSES:
+        if not hints.isdisjoint(words) or ends and any(w.endswith(ends) for w in words) and GERMAN_STREET.search(text):
             for m in form.finditer(text):
                 a, b = _trim_address(m)
                 if a < b:
@@ -306,7 +314,7 @@ def detect(source) -> list[tuple[str, int, int]]:
         digits = sum(c.isdigit() for c in m[0])
         if 9 <= digits <= 20 and not THINGS.search(text[max(0, m.start() - 40) : m.start()]):
             add("phone", m.start(), m.end())
-    for a, b in _names(text, taken):
+    for a, b in _names(text, taken, words):
         out.append(("name", *plain.span(a, b)))
     return sorted(out, key=lambda x: x[1:])
 

@@ -13,6 +13,8 @@ TITLES = "mr mrs ms miss mx dr prof professor doctor sir madam herr frau mme mll
 CUES = (
     r"my name is", r"i am called", r"ich hei(?:ß|ss)e", r"je m['’]appelle", r"me llamo", r"mi nombre es", r"typed by", r"signed by", r"signed,", r"spoke to", r"spoke with", r"complaint of", r"sent to", r"please call", r"new tenant:", r"tenant:", r"patient", r"witness", r"applicant", r"owner[=:]", r"from:", r"contact:", r"reviewer note:", r"according to", r"pregunte por", r"le dossier de", r"mi hermana", r"mi hermano", r"last month",
 )
+#: Words of which every announcement has one.
+CUE_WORDS = "name heiße heisse called appelle llamo nombre typed signed spoke complaint sent please tenant patient witness applicant owner from contact note according pregunte dossier hermana hermano last".split()
 #: Words that open sentences or name things and so are no surname.
 NO_SURNAME = (
     "the a an in no only each after before under when if it its two several please guidance records members staff costs for a decision version build order ticket invoice score step batch window user agent her his our their my home delivery dear refund last new this that these those and or but with without from contact signed applicant witness patient reviewer note according somebody mailbox reply fwd re is was were the toolkit scanner street road avenue lane close court drive terrace way place "
