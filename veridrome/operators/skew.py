@@ -60,12 +60,12 @@ def spread(df: DataFrame) -> DataFrame:
 
     For passes that are heavy per row.  The decision takes the size of the scanned
     files from the plan's statistics, without a job: from ``openCostInBytes`` a
-    core on, scans make at least one partition a core.  So only inputs of a few
-    megabytes a core are shuffled.
+    core on, scans make at least one partition a core, and from half of that on
+    nearly so many that shuffling would cost more than it gains.
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     most = spark._jsparkSession.sessionState().conf().filesOpenCostInBytes()
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     size = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
-    return df if size >= cores * most else df.repartition(cores)
+    return df if 2 * size >= cores * most else df.repartition(cores)

@@ -321,3 +321,64 @@ def rewrite_reinsert(spark, d):
     """A rewritten piece put back where the first address stood."""
     m = _chunks(spark, d).withColumn("m", F.get(P.matches(F.col("text"), MAIL), F.lit(0))).where("m is not null")
     return m.select("chunk_id", F.concat(F.substring("text", F.lit(1), F.col("m.start")), F.lit("[MOVED]"), F.substring("text", F.col("m.end") + 1, F.length("text"))).alias("put_back"))
+
+
+@query("""WITH w AS (SELECT w, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents WHERE text IS NOT NULL) GROUP BY w), p AS (SELECT w, n / (SELECT sum(n) FROM w) AS p FROM w)
+SELECT w AS token, round(p, 6) AS p FROM p WHERE p >= 0.001 ORDER BY p DESC, w LIMIT 100""")
+def select_likely_tokens(spark, d):
+    """Words of at least a thousandth of all, the hundred most likely (a top-k report)."""
+    n = _docs(spark, d).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("w")).groupBy("w").agg(_n())
+    total = n.agg(F.sum("n").alias("total")).first().total or 1  # one number
+    p = n.select(F.col("w").alias("token"), (F.col("n") / total).alias("p")).where("p >= 0.001")
+    return p.orderBy(F.desc("p"), "token").limit(100).withColumn("p", F.round("p", 6))
+
+
+@query("SELECT DISTINCT id, array_to_string(list_transform(list_sort(list_transform(tags, lambda t: {'n': -length(t), 't': t})), lambda x: x.t), '|') AS ordered FROM updates WHERE tags IS NOT NULL AND NOT list_contains(list_transform(tags, lambda t: t IS NULL), true)")
+def order_longest_first(spark, d):
+    """Tags of an update, the longest first."""
+    u = table(spark, d, "updates", "id", "tags").where("tags is not null").where(~F.exists("tags", lambda t: t.isNull()))
+    s = F.array_sort(F.transform("tags", lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t"))))
+    return u.select("id", F.array_join(F.transform(s, lambda x: x["t"]), "|").alias("ordered")).distinct()
+
+
+_TOPICS = ["risk", "consent", "audit", "health", "credit"]
+
+
+@query("SELECT doc_id, " + ", ".join(f"round(least(1.0, ((length(lower(text)) - length(replace(lower(text), '{t}', ''))) // {len(t)}) / 10.0), 6) AS {t}" for t in _TOPICS) + ", " + " OR ".join(f"((length(lower(text)) - length(replace(lower(text), '{t}', ''))) // {len(t)}) / 10.0 + 0.1 > 0.5" for t in _TOPICS[:2]) + " AS drifts FROM documents WHERE text IS NOT NULL")
+def gate_topic_state(spark, d):
+    """Five topics of a text by their counts, and whether one more mention takes one of two over a bound."""
+    n = {t: T.plain_count(F.col("text"), t) / 10.0 for t in _TOPICS}
+    drifts = (n["risk"] + 0.1 > 0.5) | (n["consent"] + 0.1 > 0.5)
+    return _docs(spark, d).select("doc_id", *[F.round(F.least(F.lit(1.0), x), 6).alias(t) for t, x in n.items()], drifts.alias("drifts"))
+
+
+@query(f"SELECT entry_id, pos::INT AS pos, coalesce(severity = 'high', false) AND coalesce(rule_id LIKE 'gdpr%', false) AS fits FROM {_V}")
+def relation_type_match(spark, d):
+    """Violations whose kinds are equal to a pattern's, place by place; a null in the pattern takes any."""
+    pattern = [None, "high", "gdpr"]
+    given = [F.col("type"), F.col("severity"), F.substring("rule_id", 1, 4)]
+    fits = F.lit(True)
+    for want, got in zip(pattern, given):
+        if want is not None:
+            fits = fits & F.coalesce(got == want, F.lit(False))
+    return _violations(spark, d).select("entry_id", "pos", fits.alias("fits"))
+
+
+@query(f"""WITH s AS (SELECT framework_id, avg(compliance_score) FILTER (WHERE timestamp < TIMESTAMPTZ '2024-01-04 00:00:00+00') AS b, avg(compliance_score) FILTER (WHERE timestamp >= TIMESTAMPTZ '2024-01-04 00:00:00+00') AS a FROM {_A} WHERE framework_id IS NOT NULL GROUP BY framework_id)
+SELECT framework_id, round(b, 6) AS before, round(a, 6) AS after, round(a - b, 6) AS change, round(CASE WHEN b <> 0 THEN (a - b) / b * 100 END, 6) AS relative FROM s""")
+def report_change(spark, d):
+    """Mean scores of each framework before and after a day, their change, and its share."""
+    a = _audit(spark, d, "framework_id", "compliance_score", "timestamp").where("framework_id is not null")
+    early = F.col("timestamp") < F.lit("2024-01-04").cast("timestamp")
+    s = a.groupBy("framework_id").agg(F.avg(F.when(early, F.col("compliance_score"))).alias("b"), F.avg(F.when(~early, F.col("compliance_score"))).alias("a"))
+    diff = F.col("a") - F.col("b")
+    return s.select("framework_id", F.round("b", 6).alias("before"), F.round("a", 6).alias("after"), F.round(diff, 6).alias("change"), F.round(F.when(F.col("b") != 0, diff / F.col("b") * 100), 6).alias("relative"))
+
+
+@query(f"""WITH h AS (SELECT lower(matched_content) AS form, coalesce(type, 'none') AS type, count(*) AS n FROM {_V} WHERE matched_content IS NOT NULL GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY form ORDER BY n DESC, type) AS r, count(*) OVER (PARTITION BY form) AS n_types FROM h) SELECT form, type, n_types FROM k WHERE r = 1 AND n_types > 1""")
+def entity_ambiguous_forms(spark, d):
+    """Forms that occur with several types, and the type that most of them have."""
+    h = _violations(spark, d).where("matched_content is not null").groupBy(F.lower("matched_content").alias("form"), F.coalesce("type", F.lit("none")).alias("type")).agg(_n())
+    best = F.min_by("type", F.struct(-F.col("n"), "type"))
+    return h.groupBy("form").agg(best.alias("type"), F.count(F.lit(1)).alias("n_types")).where("n_types > 1").select("form", "type", "n_types")
