@@ -77,7 +77,14 @@ def nearest(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int =
 
 
 def label_scores(df: DataFrame, centers: DataFrame, key: str, vector: str, label: str) -> DataFrame:
-    """Cosine of each row with each label's centroid (one row a label, packed as one array)."""
-    packed = centers.agg(F.collect_list(F.struct(F.col(label).alias("label"), F.col("centroid").alias("c"))).alias("_cs"))
-    one = df.withColumn("_one", F.lit(1)).join(F.broadcast(packed.withColumn("_one", F.lit(1))), "_one")
+    """Cosine of each row with each label's centroid.
+
+    Every row meets every label, for that is the result.  Labels are packed in
+    blocks of about ``BLOCK``, broadcast when a count proves them few.
+    """
+    n = centers.count()
+    blocks = max(1, -(-n // BLOCK))
+    packed = centers.groupBy(F.pmod(F.xxhash64(label), F.lit(blocks)).cast("int").alias("_b")).agg(F.collect_list(F.struct(F.col(label).alias("label"), F.col("centroid").alias("c"))).alias("_cs"))
+    every = df.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    one = every.join(F.broadcast(packed) if n <= BROADCAST_QUERIES else packed, "_b")
     return one.select(key, F.explode(F.transform("_cs", lambda x: F.struct(x["label"].alias("concept"), V.cosine(F.col(vector), x["c"]).alias("cosine")))).alias("s")).select(key, "s.*")
