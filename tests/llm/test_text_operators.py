@@ -125,13 +125,14 @@ def test_repeated_lines_in_deltas(spark):
     first, _ = store.advance(0, hashed(rows[:50]))
     both, moved = store.advance(1, hashed(rows[40:]))
     whole = repeated_lines.line_delta(hashed(rows))
-    assert {tuple(r) for r in both.lines.collect()} == {tuple(r) for r in whole.lines.collect()}
-    now = {(r.source, r.h) for r in repeated_lines.excessive(both.lines, both.totals).collect()}
-    then = {(r.source, r.h) for r in repeated_lines.excessive(first.lines, first.totals).collect()}
+    assert {tuple(r) for r in both.counts.collect()} == {tuple(r) for r in whole.collect()}
+    now = {(r.source, r.h) for r in repeated_lines.excessive(both.counts).collect()}
+    then = {(r.source, r.h) for r in repeated_lines.excessive(first.counts).collect()}
     assert {(r.source, r.h) for r in both.standing.collect()} == now
     assert {(r.source, r.h, r.excessive) for r in moved.collect()} == {(*k, True) for k in now - then} | {(*k, False) for k in then - now}
     again = store.load(2)
-    assert {tuple(r) for r in again.totals.collect()} == {tuple(r) for r in whole.totals.collect()}
+    assert {tuple(r) for r in again.counts.collect()} == {tuple(r) for r in whole.collect()}
+    assert sorted(tuple(r) for r in again.ids.collect()) == sorted({(s, i) for s, i, _ in rows if s is not None})
 
 
 def test_rebuild_follows_both_ways(spark):

@@ -2,9 +2,9 @@
 
 A pass over the texts turns every document into the 128-bit keys of its lines.
 From there on only keys are read.  Batches of documents (new partitions) are
-merged one after the other into a state of four tables: in how many distinct
-documents of a source a line stands, how many documents a source has, which
-documents were seen, and which lines are excessive at present.  Merging a batch
+merged one after the other into a state of three tables: in how many distinct
+documents of a source a line stands, with the number of its documents as the count
+of no line; which documents were seen; and which lines are excessive at present.  Merging a batch
 gives the lines whose standing changed; both ways count, for a line may also
 fall under the share again as its source grows.  Only documents that hold such
 a line, and the new ones, are rebuilt, each against all lines that are excessive
@@ -32,7 +32,6 @@ from veridrome.session import materialise, work_folder
 
 MIN_DOCS, MIN_SHARE = 3, 0.08
 KEY = "struct<a:bigint,b:bigint>"
-PARTS = ("lines", "totals", "ids", "standing")
 
 
 def line_hashes(content: Column) -> Column:
@@ -54,56 +53,52 @@ def hashed_documents(docs: DataFrame, *extra: str) -> DataFrame:
 
 @dataclass
 class LineState:
-    """``lines`` (source, h, n), ``totals`` (source, total), ``ids`` (source, id) seen, ``standing`` (source, h) excessive now."""
+    """``counts`` (source, h, n), where a null ``h`` counts documents; ``ids`` (source, id) seen; ``standing`` (source, h) excessive now."""
 
-    lines: DataFrame
-    totals: DataFrame
-    ids: DataFrame
+    counts: DataFrame
+    ids: DataFrame | None
     standing: DataFrame | None = None
 
 
-def line_delta(hashed: DataFrame, seen: DataFrame | None = None) -> LineState:
-    """The counts of one batch of :func:`hashed_documents`; ids in ``seen`` are left out.
+def line_delta(hashed: DataFrame) -> DataFrame:
+    """The counts of one batch of :func:`hashed_documents`: (source, h, n).
 
     Counts are combined before they are shuffled; a line that stands twice in a
     document, or in two versions of it, counts once.
     """
-    if seen is not None:
-        hashed = hashed.join(seen, ["source", "id"], "left_anti")
     one = hashed.groupBy("source", "id").agg(F.array_distinct(F.flatten(F.collect_list("hs"))).alias("hs"))
-    lines = one.select("source", F.explode("hs").alias("h")).where("h is not null").groupBy("source", "h").agg(F.count(F.lit(1)).alias("n"))
-    totals = one.groupBy("source").agg(F.count(F.lit(1)).alias("total"))
-    return LineState(lines, totals, one.select("source", "id"))
+    # blank lines have no key either; the document itself takes the place of all of them
+    keys = F.concat(F.array(F.lit(None).cast(KEY)), F.filter("hs", lambda h: h.isNotNull()))
+    return one.select("source", F.explode(keys).alias("h")).groupBy("source", "h").agg(F.count(F.lit(1)).alias("n"))
 
 
-def merge(state: LineState | None, delta: LineState) -> LineState:
+def merge(counts: DataFrame | None, delta: DataFrame) -> DataFrame:
     """Counts after a delta whose ids the state has not seen."""
-    if state is None:
-        return LineState(delta.lines, delta.totals, delta.ids)
-    lines = state.lines.unionByName(delta.lines).groupBy("source", "h").agg(F.sum("n").alias("n"))
-    totals = state.totals.unionByName(delta.totals).groupBy("source").agg(F.sum("total").alias("total"))
-    return LineState(lines, totals, state.ids.unionByName(delta.ids))
+    return delta if counts is None else counts.unionByName(delta).groupBy("source", "h").agg(F.sum("n").alias("n"))
 
 
-def excessive(lines: DataFrame, totals: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
-    """Lines over the threshold, of the sources in ``totals``: (source, h).
+def excessive(counts: DataFrame, touched: DataFrame | None = None, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
+    """Lines over the threshold, of the ``touched`` sources (source; default: all): (source, h).
 
     A source has at most 1 / ``min_share`` times the mean lines of a document
     of them, however many documents it has.
     """
-    often = lines.where(F.col("n") >= min_docs)
+    totals = counts.where("h is null").select("source", F.col("n").alias("total"))
+    if touched is not None:
+        totals = totals.join(touched, "source", "left_semi")
+    often = counts.where((F.col("n") >= min_docs) & F.col("h").isNotNull())
     per_mille = round(min_share * 1000)  # integers keep the border exact
     kept = salted_join(often, totals, ["source"], "inner", spread=F.col("h.a"))
     return kept.where(F.col("n") * 1000 >= F.col("total") * per_mille).select("source", "h")
 
 
-def standing(before: LineState | None, after: LineState, touched: DataFrame, **kw) -> DataFrame:
+def standing(before: LineState | None, counts: DataFrame, touched: DataFrame, **kw) -> DataFrame:
     """Lines that are excessive after a delta: (source, h).
 
     Only the sources that the delta touched are judged again; the others keep
     what they had.
     """
-    now = excessive(after.lines, after.totals.join(touched, "source", "left_semi"), **kw)
+    now = excessive(counts, touched, **kw)
     return now if before is None else now.unionByName(before.standing.join(touched, "source", "left_anti"))
 
 
@@ -117,7 +112,7 @@ def crossings(before: LineState | None, after: LineState) -> DataFrame:
 
 
 class LineStore:
-    """The state's tables in a folder, one version for each merged batch."""
+    """The state's tables in a folder: counts and standing of every version, and the ids of every batch."""
 
     def __init__(self, spark: SparkSession, folder: str | None = None):
         self.spark, self.folder = spark, folder or work_folder(spark, "repeated-lines")
@@ -127,18 +122,25 @@ class LineStore:
 
     def load(self, version: int) -> LineState | None:
         """The state after ``version`` batches; none at 0."""
-        return LineState(*(self.spark.read.parquet(self._at(version, p)) for p in PARTS)) if version else None
+        if not version:
+            return None
+        read = self.spark.read.parquet
+        return LineState(read(self._at(version, "counts")), read(*(self._at(v, "ids") for v in range(1, version + 1))), read(self._at(version, "standing")))
 
     def advance(self, version: int, hashed: DataFrame, **kw) -> tuple[LineState, DataFrame]:
-        """Merge one batch into a version; gives the new state and the crossings, both read from what was written."""
+        """Merge one batch into a version; gives the new state and the crossings, both read from what was written.
+
+        Documents that the state has seen are left out.
+        """
         before = self.load(version)
-        delta = line_delta(hashed, before and before.ids)
         write = lambda df, part: materialise(df, self._at(version + 1, part))
-        delta = LineState(*(write(df, f"delta-{p}") for df, p in zip((delta.lines, delta.totals, delta.ids), PARTS)))
-        new = merge(before, delta)
-        new = LineState(write(new.lines, "lines"), write(new.totals, "totals"), write(new.ids, "ids"))
-        new.standing = write(standing(before, new, delta.totals.select("source"), **kw), "standing")
-        return new, crossings(before, new)
+        fresh = hashed if before is None else hashed.join(before.ids, ["source", "id"], "left_anti")
+        write(fresh.select("source", "id").distinct(), "ids")
+        delta = write(line_delta(fresh), "delta")
+        counts = write(merge(before and before.counts, delta), "counts")
+        state = LineState(counts, None, write(standing(before, counts, delta.where("h is null").select("source"), **kw), "standing"))
+        state.ids = self.load(version + 1).ids
+        return state, crossings(before, state)
 
 
 def holding(hashed: DataFrame, lines: DataFrame) -> DataFrame:
